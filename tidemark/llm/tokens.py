@@ -1,8 +1,9 @@
 """Token ids of texts by the tokenizers library, with a cache of what stands between blanks.
 
-A cut before a blank that follows a character other than white space is a place where the
-pre-tokenizers used here always cut too, so the ids of the pieces, one after another, are those of the
-text. Texts to which this doesn't apply (white space before a blank, control strings) are encoded whole.
+A cut before a blank or a single line break between other characters is a place where the pre-tokenizers
+used here always cut too, and so is one between a letter and a mark of punctuation that ends a piece.
+The ids of the pieces, one after another, are then those of the text. Texts to which this doesn't
+apply (wider white space, control strings) are encoded whole.
 """
 
 from __future__ import annotations
@@ -10,12 +11,17 @@ from __future__ import annotations
 import re
 from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries after which the cache starts anew, and characters up to which a piece is kept in it.
+#: Entries of the younger of the cache's two generations, and characters up to which a piece is kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
-_WIDE = re.compile(r"\s ")
+_WIDE = re.compile(r"\s |\s\n")
+_MARKS = ".,;:!?"
+#: Beyond these letters, what a letter is, its lower case and its composed form may depend on the library or on context.
+_OTHER = re.compile("[^\\x00-\u012f\u0131-\u024f]")
+#: How the byte-level models write bytes as characters: printable ones as they are, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 def default_path(name: str) -> str:
@@ -24,49 +30,78 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Ids by piece. A piece that isn't there is looked up in the older generation, or else encoded."""
+
+    def __init__(self, tokenizer: Tokenizer, glue: bool, older: dict[str, bytes]):
+        self.tokenizer, self.glue, self.older = tokenizer, glue, older
+        self.model, self.marks = tokenizer.model.tokenize, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+    def _encode(self, piece: str) -> bytes:
+        if not _OTHER.search(piece):
+            if piece.isalpha():
+                return self._word(" " + piece if self.glue else piece.lower())
+            if piece[:1] == "\n" and piece[1:].isalpha():
+                return self._mark("\n") + self._word(piece[1:])
+            stem = piece.rstrip(_MARKS)
+            if stem and len(stem) < len(piece) and stem[-1].isalpha():
+                return self[stem] + self._mark(piece[len(stem) :])
+        return self.whole(piece if not self.glue or piece[:1] == "\n" else " " + piece)
+
+    def _word(self, letters: str) -> bytes:
+        """Letters are one word for the pre-tokenizers, so they go straight to the model."""
+        return array("I", [t.id for t in self.model(letters.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 1000:
+                self.marks.clear()
+            self.marks[marks] = self.whole(marks)
+        return self.marks[marks]
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 class Encoder:
-    """encode_all(texts): ids as little-endian unsigned 32-bit integers. glue: whether a piece keeps its blank (byte-level BPE)."""
+    """encode_all(texts): ids as little-endian unsigned 32-bit integers.
+
+    glue: pieces keep the blank before them (byte-level BPE); else white space has no ids, nor has case.
+    """
 
     def __init__(self, path: str, glue: bool):
-        self.tokenizer, self.glue, self.cache = Tokenizer.from_file(path), glue, {}
+        self.tokenizer, self.glue = Tokenizer.from_file(path), glue
+        self.cache = _Pieces(self.tokenizer, glue, {})
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.cache.whole(text)
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text's pieces, a first one without a blank before it apart; None: the text must be encoded whole."""
+    def encode(self, text: str) -> bytes:
         if "<|" in text or self.glue and _WIDE.search(text):
-            return None
-        return text.split(" ") if self.glue else text.replace("\n", " ").split(" ")
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Put pieces and their ids into the cache; they are encoded in one call."""
-        given = [" " + p for p in pieces] if self.glue else pieces
-        found = self.tokenizer.encode(given, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(found.ids, dtype="<u4").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(pieces)), side="right") * 4
-        at = 0
-        for piece, end in zip(pieces, ends.tolist(), strict=True):
-            self.cache[piece] = data[at:end]
-            at = end
+            return self.whole(text)
+        if self.glue:  # what follows a line break has the break in its piece, all but the first follow a blank
+            first, *pieces = text.replace("\n", " \n").split(" ")
+            head = self.whole(first) if first else b""
+        else:
+            if not _OTHER.search(text):
+                text = text.lower()
+            head, pieces = b"", text.replace("\n", " ").split(" ")
+        return head + b"".join(map(self.cache.__getitem__, pieces))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        missing = list(set().union(*(x[self.glue :] for x in split if x)).difference(self.cache))
-        if missing:
-            self._learn(missing)
-        get = self.cache.__getitem__
-        out = [self.whole(t) if x is None else self._head(x[0]) + b"".join(map(get, x[1:])) if self.glue else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
-        for piece in missing:
-            if len(piece) > CACHE_CHARS:
-                del self.cache[piece]
+        out = list(map(self.encode, texts))
         if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+            self.cache = _Pieces(self.tokenizer, self.glue, dict(self.cache))
         return out
 
-    def _head(self, piece: str) -> bytes:
-        return self.whole(piece) if piece else b""
-
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
