@@ -57,25 +57,23 @@ def _daily(reg: Registry, key: str, value: str | None = None) -> DataFrame | Non
     return None if s is None else s.filter("value IS NOT NULL").groupBy(F.to_date("ts").alias("date")).agg(F.max_by("value", "ts").alias("value"))
 
 
-#: Market-wide series are one short calendar each; their windows have no key to be dealt by.
-_ALL = Window.partitionBy(F.lit(0)).orderBy("date")
-
-
 def market(frame: DataFrame, reg: Registry, strict_asof: bool = False) -> DataFrame:
     """Market-wide factors. strict_asof: foreign closes count from the next day on, where rows bear the session's own date."""
 
+    whole = Window.partitionBy(F.lit(0)).orderBy("date")  # a market-wide series is one short calendar
+
     def change(s: DataFrame, k: int = 1):
-        return s.withColumn("_f", carried(F.col("value"), _ALL)).withColumn("_c", pct_change_of(F.col("_f"), _ALL, k) * 100)
+        return s.withColumn("_f", carried(F.col("value"), whole)).withColumn("_c", pct_change_of(F.col("_f"), whole, k) * 100)
 
     out = frame
     if (s := _daily(reg, "nifty")) is not None:
-        c = s.withColumns({"_1": pct_change_of(F.col("value"), _ALL), "_5": pct_change_of(F.col("value"), _ALL, 5), "_m": rolling_mean(F.col("value"), _ALL, 50)})
-        c = c.select("date", (F.lag("_1").over(_ALL) * 100).alias("nifty_ret_1d"), (F.lag("_5").over(_ALL) * 100).alias("nifty_ret_5d"), F.lag(flag(F.col("value") > F.col("_m"))).over(_ALL).alias("nifty_above_50dma"))
+        c = s.withColumns({"_1": pct_change_of(F.col("value"), whole), "_5": pct_change_of(F.col("value"), whole, 5), "_m": rolling_mean(F.col("value"), whole, 50)})
+        c = c.select("date", (F.lag("_1").over(whole) * 100).alias("nifty_ret_1d"), (F.lag("_5").over(whole) * 100).alias("nifty_ret_5d"), F.lag(flag(F.col("value") > F.col("_m"))).over(whole).alias("nifty_above_50dma"))
         out = exact(out, c, ["date"])
     if (s := _daily(reg, "india_vix")) is not None:
         v = F.col("value")
-        c = s.select("date", F.lag(v).over(_ALL).alias("vix_level"), rolling_pct_rank(v, _ALL, 252).alias("_r"), pct_change_of(v, _ALL).alias("_c"))
-        c = c.select("date", "vix_level", (F.lag("_c").over(_ALL) * 100).alias("vix_chg_1d"), F.lag("_r").over(_ALL).alias("vix_pctile_1y"))
+        c = s.select("date", F.lag(v).over(whole).alias("vix_level"), rolling_pct_rank(v, whole, 252).alias("_r"), pct_change_of(v, whole).alias("_c"))
+        c = c.select("date", "vix_level", (F.lag("_c").over(whole) * 100).alias("vix_chg_1d"), F.lag("_r").over(whole).alias("vix_pctile_1y"))
         out = exact(out, c, ["date"])
     # Series that are looked up as of the day, with their change over 1 (or 5) rows.
     for key, name, k in (("sp500", "sp500_overnight", 1), ("crude", "crude_ret_1d", 1), ("crude", "crude_ret_5d", 5), ("usdinr", "usdinr_ret_1d", 1), ("us_vix", "usvix_ret_1d", 1),
@@ -86,16 +84,16 @@ def market(frame: DataFrame, reg: Registry, strict_asof: bool = False) -> DataFr
         out = asof(out, s.select("date", F.col("value").alias("usvix_level")), ["usvix_level"], strict=strict_asof)
     for key, name in (("nikkei", "nikkei_ret_1d"), ("hang_seng", "hsi_ret_1d")):
         if (s := _daily(reg, key)) is not None:
-            out = asof(out, change(s).select("date", F.lag("_c").over(_ALL).alias(name)), [name])
+            out = asof(out, change(s).select("date", F.lag("_c").over(whole).alias(name)), [name])
     if (g := _daily(reg, "gift_nifty", "niftyopen")) is not None and (s := _daily(reg, "nifty")) is not None:
         out = asof(out, g.select("date", F.col("value").alias("_g")), ["_g"])
-        out = exact(out, s.select("date", F.lag("value").over(_ALL).alias("_n")), ["date"]).withColumn("gift_premium_pct", over_zero(F.col("_g") - F.col("_n"), F.col("_n")) * 100).drop("_g", "_n")
+        out = exact(out, s.select("date", F.lag("value").over(whole).alias("_n")), ["date"]).withColumn("gift_premium_pct", over_zero(F.col("_g") - F.col("_n"), F.col("_n")) * 100).drop("_g", "_n")
     if (s := _daily(reg, "rbi_repo", "repo_rate")) is not None:
-        c = s.select("date", F.col("value").alias("repo_rate"), F.coalesce((F.col("value") != F.lag("value", 5).over(_ALL)).cast("int"), F.lit(1)).alias("repo_chg_recent"))
+        c = s.select("date", F.col("value").alias("repo_rate"), F.coalesce((F.col("value") != F.lag("value", 5).over(whole)).cast("int"), F.lit(1)).alias("repo_chg_recent"))
         out = asof(out, c, ["repo_rate", "repo_chg_recent"])
     if (t := reg.get("fii_dii")) is not None and "fii_net" in t.columns:
         n = F.col("fii_net").cast("double")
-        c = t.groupBy("date").agg(F.last("fii_net").alias("fii_net")).select("date", F.lag(n).over(_ALL).alias("fii_net_prev"), rolling_sum(n, _ALL, 5, 1).alias("fii_net_5d"))
+        c = t.groupBy("date").agg(F.last("fii_net").alias("fii_net")).select("date", F.lag(n).over(whole).alias("fii_net_prev"), rolling_sum(n, whole, 5, 1).alias("fii_net_5d"))
         out = exact(out, c, ["date"])
     if (t := reg.get("cpi_wpi_iip")) is not None:
         out = member_flag(out, t, ["date"], "macro_release_today")
@@ -144,6 +142,7 @@ def events(frame: DataFrame, reg: Registry) -> DataFrame:
 def smart_money(frame: DataFrame, reg: Registry) -> DataFrame:
     """Delivery, bans, participants, shorts, bulk deals, sector rotation, pledges, index changes."""
     w, out, keys = series(), frame, ["symbol", "date"]
+    whole = Window.partitionBy(F.lit(0)).orderBy("date")
     if (t := reg.get("delivery")) is not None:
         if "series" in t.columns:  # EQ rows where a symbol has any
             has = F.max((F.col("series") == "EQ").cast("int")).over(Window.partitionBy("symbol"))
@@ -158,7 +157,7 @@ def smart_money(frame: DataFrame, reg: Registry) -> DataFrame:
     if (t := reg.get("participant_oi")) is not None:
         ls = over_zero(F.col("fii_fut_long"), F.col("fii_fut_short"))
         p = t.groupBy("date").agg(*(F.first(c).alias(c) for c in t.columns if c != "date")).withColumns({"_ls": ls, "_pc": over_zero(F.col("client_opt_put_oi"), F.col("client_opt_call_oi"))})
-        p = p.select("date", F.lag("_ls").over(_ALL).alias("fii_fut_long_short"), (F.lag("_ls").over(_ALL) - F.lag("_ls", 6).over(_ALL)).alias("fii_fut_ls_chg5d"), F.lag("_pc").over(_ALL).alias("client_opt_pcr"))
+        p = p.select("date", F.lag("_ls").over(whole).alias("fii_fut_long_short"), (F.lag("_ls").over(whole) - F.lag("_ls", 6).over(whole)).alias("fii_fut_ls_chg5d"), F.lag("_pc").over(whole).alias("client_opt_pcr"))
         out = exact(out, p, ["date"])
     if (t := reg.get("short_selling")) is not None:
         s = t.groupBy(*keys).agg(F.first("short_qty").alias("_q"), F.first("traded_qty").alias("_t")).withColumn("_p", over_zero(F.col("_q"), F.col("_t")) * 100)

@@ -1 +1,15 @@
+"""Queries over sample tables, and the research pipeline as a whole."""
 
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from tidemark.plans import catalog
+
+    return catalog.QUERIES
+
+
+def all_sql() -> dict[str, str]:
+    from tidemark.plans import catalog
+
+    return catalog.SQL
