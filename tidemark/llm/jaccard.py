@@ -7,8 +7,9 @@ Two documents link when num / den or more of their joint distinct word shingles
    a band the number of shingles by which linked sets can differ is bounded by d, so if the hash range is
    cut into more than d + e parts, linked sets agree in at least 1 + e whole parts. Each set sends a hash of each of its
    parts (empty ones only if there are more than e of them). In bands of small sets, where parts would be empty, it sends
-   its prefix, the lowest-hashed shingles of which linked sets must share one. What agrees in a
-   hash is connected, and only documents so connected are read again.
+   its prefix, the lowest-hashed shingles of which linked sets must share one. Sets that agree in a hash are searched by
+   their hashed bitmaps, of about a bit for each shingle: the number of common bits bounds the overlap from above, so
+   documents that merely share a passage part here. What may link is connected, and only documents so connected are read again.
 3. The connected sets form tiles of bounded bytes; large ones are cut by size band and hash. In a tile, sets are searched breadth
    first: each set that was reached is held against all that weren't. The number of common bits of two bitmaps bounds the
    overlap from above; who passes is intersected exactly. So a group of copies costs one
@@ -38,6 +39,8 @@ K, NUM, DEN = 4, 85, 100
 GROWTH, SMALL = 1.25, 40
 #: Text in a block of part hashes, and bytes of shingles in a tile.
 BLOCK_TEXT, TILE_BYTES = 16 << 20, 8 << 20
+#: Bits of the widest bitmap; members of one part hash above which they are connected unseen.
+MOST_BITS, MOST_MEMBERS = 1 << 16, 50_000
 #: Part hashes that a task gathers before it hands them on.
 HELD = 2_000_000
 
@@ -102,21 +105,34 @@ def _keys(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A hashed bitmap of a power of two of bits, as many as there are shingles or more."""
+    width = 64
+    while width < len(shingles) and width < MOST_BITS:
+        width *= 2
+    bits = np.zeros(width, dtype=bool)
+    bits[(shingles >> np.uint64(20)) & np.uint64(width - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, key, key2): the size and the 128-bit hash of each document's set."""
+    """(doc_id, n, key, key2, bits): size, 128-bit hash and bitmap of each document's set."""
 
     def work(batches):
         shingler = Shingler(k)
         for batch in batches:
             found = shingler.sets(batch.column(1).to_pylist())
             keys = [_keys(s) for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1))], names=["doc_id", "n", "key", "key2"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array(list(map(bitmap, found)), pa.binary())],
+                names=["doc_id", "n", "key", "key2", "bits"],
+            )
 
-    return docs.mapInArrow(work, "doc_id long, n long, key long, key2 long")
+    return docs.mapInArrow(work, "doc_id long, n long, key long, key2 long, bits binary")
 
 
 def _candidates(docs: DataFrame, k: int, num: int, den: int, blocks: int) -> DataFrame:
-    """Edges (a, b) between the keys of sets that have a part hash in common: each with the least of its hash."""
+    """(party, key): parties of sets that have a part hash in common; of parties with the same members one is kept."""
 
     def sign(batches):
         shingler, signer = Shingler(k), Signer(num, den)
@@ -148,15 +164,64 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int, blocks: int) -> Dat
         parts = table.column("data").to_pylist()
         h = np.concatenate([np.frombuffer(p, "<u8", len(p) // 16) for p in parts])
         key = np.concatenate([np.frombuffer(p, "<i8", len(p) // 16, len(p) // 2) for p in parts])
-        order = np.argsort(h)
+        order = np.lexsort((key, h))
         h, key = h[order], key[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
+        h, key = h[new], key[new]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate([first, [len(h)]])))
-        other = key != least
-        edges = np.unique(np.stack([key[other], least[other]], axis=1), axis=0)
-        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+        sizes = np.diff(np.concatenate([first, [len(h)]]))
+        with np.errstate(over="ignore"):
+            party = np.add.reduceat(mix(key.view(np.uint64)), first)
+        shared = np.flatnonzero(sizes > 1)
+        _, once = np.unique(party[shared], return_index=True)
+        chosen = shared[once]
+        inside = np.repeat(first[chosen], sizes[chosen]) + np.arange(sizes[chosen].sum()) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
+        return pa.table({"party": np.repeat(party[chosen], sizes[chosen]).view(np.int64), "key": key[inside]})
+
+    return docs.mapInArrow(sign, "block long, data binary").groupBy("block").applyInArrow(meet, "party long, key long").distinct()
+
+
+def _may_link(parties: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) of keys that connect, within each party, all sets whose bitmaps allow a link."""
+    bits = sets.filter("n > 0").groupBy("key").agg(F.max_by(F.struct("n", "bits"), "n").alias("s")).select("key", "s.*")
+    members = parties.join(bits.hint("merge"), "key")
+
+    def search(table: pa.Table) -> pa.Table:
+        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+        if len(key) > MOST_MEMBERS:
+            found = [(0, j) for j in range(1, len(key))]  # connected unseen: the exact search comes later
+        else:
+            data = table.column("bits").to_pylist()
+            words = min(map(len, data)) // 8
+            rows = [np.bitwise_or.reduce(np.frombuffer(d, dtype="<u8").reshape(-1, words)) for d in data]
+            found = reached(np.stack(rows), n, num, den)
+        a, b = (np.array([f[i] for f in found], dtype=np.int64) for i in (0, 1))
+        return pa.table({"a": key[a], "b": key[b]})
+
+    return members.groupBy("party").applyInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    return docs.mapInArrow(sign, "block long, data binary").groupBy("block").applyInArrow(meet, "a long, b long").distinct()
+
+def _needed(mine, theirs, num: int, den: int):
+    """Common shingles that sets of these sizes need to link."""
+    return -(-num * (mine + theirs) // (num + den))
+
+
+def reached(words: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that connect all rows whose bitmaps allow a link, breadth first. words: rows of 64-bit words of equal width."""
+    hidden = sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    left, queue, out = np.arange(len(sizes)), [], []
+    while len(left):
+        if queue:
+            i = queue.pop()
+        else:
+            i, left = int(left[0]), left[1:]
+        common = np.bitwise_count(words[left] & words[i]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[left], hidden[i])
+        least = _needed(sizes[i], sizes[left], num, den)
+        near = (common >= least) & (least <= np.minimum(sizes[i], sizes[left]))
+        out += [(i, j) for j in left[near].tolist()]
+        queue += left[near].tolist()
+        left = left[~near]
+    return out
 
 
 class Bitmaps:
@@ -191,7 +256,7 @@ def linked(sets: list[np.ndarray], num: int, den: int, old: np.ndarray | None =
         if not len(left):
             break
         mine, theirs = sizes[i], sizes[left]
-        least = -(-num * (mine + theirs) // (num + den))  # common shingles that a link needs
+        least = _needed(mine, theirs, num, den)
         fit = (least <= np.minimum(mine, theirs)) & (new[left] | new[i])
         near = np.flatnonzero(fit)
         near = near[bitmaps.upper(i, left[near]) >= least[near]]
@@ -225,35 +290,42 @@ def _tile_links(tiles: DataFrame, by: list[str], num: int, den: int) -> DataFram
     return tiles.groupBy(*by).applyInArrow(work, "a long, b long")
 
 
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between rows of sets (group, rep, n, shingles), enough to connect what links connect."""
+def _tiled(doubtful: DataFrame) -> DataFrame:
+    """doubtful (rep, group, n) with large, band, deals and tile, from sizes alone: shingles are read for it later."""
     size = F.col("n") * 8
-    totals = sets.groupBy("group").agg(F.sum(size).alias("bytes")).withColumn("large", F.col("bytes") > TILE_BYTES)
-    dealt = sets.join(totals.select("group", "large"), "group").withColumn("old", F.lit(False))
-    small = _tile_links(dealt.filter("NOT large"), ["group"], num, den)
-    large = totals.filter("large").count()
-    if not large:
-        return small
+    totals = doubtful.groupBy("group").agg((F.sum(size) > TILE_BYTES).alias("large"))
     edges = _EDGES[_EDGES < (1 << 31)].tolist()
     band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n"))) - 1
-    big = dealt.filter("large").select("group", "rep", "n", "shingles", "old", band.alias("band"))
-    counts = big.groupBy("group", "band").agg(F.ceil(F.sum(size) / TILE_BYTES).cast("int").alias("deals"))
-    big = tidied(big.join(counts, ["group", "band"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int")), "tiles")
+    dealt = doubtful.join(totals, "group").withColumn("band", F.when(F.col("large"), band).otherwise(-1))
+    counts = dealt.filter("large").groupBy("group", "band").agg(F.ceil(F.sum(size) / TILE_BYTES).cast("int").alias("deals"))
+    return dealt.join(counts, ["group", "band"], "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int"), F.lit(0)))
+
+
+def _links(sets: DataFrame, tiled: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between rows of sets (group, band, tile, large, rep, n, shingles), enough to connect what links connect."""
+    by = ["group", "band", "tile"]
+    rows = sets.withColumn("old", F.lit(False))
+    if not tiled.filter("large").limit(1).count():
+        return _tile_links(rows, by, num, den)
+    big = rows.filter("large").drop("large")
     reach = 1 + int(np.ceil(np.log(den / num) / np.log(1.15)))  # bands that linked sets can be apart, at most
+    tiles = tiled.filter("large").select(*by).distinct()
     pivots = big.groupBy("group", "band").agg(F.min_by(F.struct("rep", "n", "shingles"), F.xxhash64("rep")).alias("p")).select("group", F.col("band").alias("pband"), "p.*")
-    tiles = counts.select("group", "band", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("tile"))
     near = F.abs(F.col("band") - F.col("pband")) <= reach
-    guests = tiles.join(pivots, "group").filter(near).select("group", "band", "tile", "rep", "n", "shingles", F.lit(False).alias("old"))
-    hosts = big.select("group", "band", "tile", "rep", "n", "shingles", "old")
-    first = tidied(_tile_links(hosts.unionByName(guests), ["group", "band", "tile"], num, den).unionByName(small), "tile-links")
+    guests = tiles.join(pivots, "group").filter(near).select(*by, "rep", "n", "shingles", F.lit(False).alias("old"))
+    columns = [*by, "rep", "n", "shingles", "old"]
+    first = tidied(_tile_links(rows.select(*columns).unionByName(guests), by, num, den), "tile-links")
     found = components(first)
-    placed = big.join(found, big["rep"] == found["node"], "left").select(big["*"], F.coalesce("component", "rep").alias("part"))
+    places = tiled.filter("large").select(*by, "rep")
+    placed = places.join(found, places["rep"] == found["node"], "left").select(*by, "rep", F.coalesce("component", "rep").alias("part"))
     main = placed.groupBy("group", "part").agg(F.count("*").alias("m")).groupBy("group").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
-    rest = placed.join(main, "group").filter(F.col("part") != F.col("main")).drop("main", "part")
-    askers = rest.withColumnRenamed("band", "aband").withColumnRenamed("tile", "atile").select("group", "aband", "atile", "rep", "n", "shingles", "old")
-    asked = askers.select("group", "aband", "atile").distinct().join(tiles, "group").filter(F.abs(F.col("band") - F.col("aband")) <= reach)
+    rest = tidied(placed.join(main, "group").filter(F.col("part") != F.col("main")).select(*by, "rep").distinct(), "tile-rest")
+    if not rest.limit(1).count():
+        return first
+    askers = big.join(rest, [*by, "rep"], "left_semi").withColumnsRenamed({"band": "aband", "tile": "atile"})
+    asked = rest.select("group", F.col("band").alias("aband"), F.col("tile").alias("atile")).distinct().join(tiles, "group").filter(F.abs(F.col("band") - F.col("aband")) <= reach)
     pairs = ["group", "aband", "atile", "band", "tile"]
-    told = asked.join(big.drop("deals"), ["group", "band", "tile"]).select(*pairs, "rep", "n", "shingles", F.lit(True).alias("old"))
+    told = asked.join(big, by).select(*pairs, "rep", "n", "shingles", F.lit(True).alias("old"))
     asking = asked.join(askers, ["group", "aband", "atile"]).select(*pairs, "rep", "n", "shingles", "old")
     return first.unionByName(_tile_links(told.unionByName(asking), pairs, num, den))
 
@@ -265,20 +337,24 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
     sets = tidied(_sets(docs, k), "shingle-sets")
     classes = sets.filter("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    edges = tidied(_candidates(docs, k, num, den, max(8, -(-total // BLOCK_TEXT))), "shingle-edges")
+    parties = tidied(_candidates(docs, k, num, den, max(8, -(-total // BLOCK_TEXT))), "shingle-parties")
+    edges = tidied(_may_link(parties, sets, num, den), "shingle-edges")
     groups = components(edges).select(F.col("node").alias("key"), F.col("component").alias("group"))
-    doubtful = tidied(classes.join(groups, "key").filter("rep IS NOT NULL").select("rep", "group").distinct(), "shingle-groups")
+    doubtful = tidied(_tiled(classes.join(groups, "key").filter("rep IS NOT NULL").select("rep", "group", "n").distinct()), "shingle-groups")
+
+    places = ["group", "band", "tile", "large", "rep"]
 
     def again(batches):
         shingler = Shingler(k)
         for batch in batches:
-            found = shingler.sets(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["group", "rep", "n", "shingles"])
+            found = shingler.sets(batch.column(len(places)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(places)], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=[*places, "n", "shingles"])
 
-    texts = docs.join(doubtful, docs["doc_id"] == doubtful["rep"]).select("group", "rep", "text")
-    arrays = tidied(texts.mapInArrow(again, "group long, rep long, n long, shingles binary").filter("n > 0"), "shingle-arrays")
+    # Texts meet their places by a sort-merge join whatever the sizes, so the plan is the same at every scale.
+    texts = docs.join(doubtful.select(*places).distinct().hint("merge"), docs["doc_id"] == F.col("rep")).select(*places, "text")
+    arrays = tidied(texts.mapInArrow(again, "group long, band int, tile int, large boolean, rep long, n long, shingles binary").filter("n > 0"), "shingle-arrays")
     same = sets.filter("n > 0").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("doc_id")
-    links = _links(arrays, num, den)
+    links = _links(arrays, doubtful, num, den)
     repeated = classes.join(sets.filter("n > 0").join(same, "doc_id", "left_semi").select("key", "key2", "n", "doc_id"), ["key", "key2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = components(links.unionByName(repeated))
     return (
