@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -55,11 +56,24 @@ def normal_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf("double")
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+def _t_series(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(dtype=float), df.to_numpy(dtype=float))).replace({np.nan: None})
 
 
-@F.pandas_udf("double")
-def normal_cdf_udf(x: pd.Series) -> pd.Series:
+def _cdf_series(x: pd.Series) -> pd.Series:
     return pd.Series(normal_cdf(x.to_numpy(dtype=float)))
+
+
+@lru_cache
+def _vectorised(name: str):
+    """A pandas UDF, made when first used: that needs a session."""
+    return F.pandas_udf({"t": _t_series, "cdf": _cdf_series}[name], "double")
+
+
+def t_p_value(t, df):
+    """The two-sided p value of a column of t statistics."""
+    return _vectorised("t")(t, df)
+
+
+def normal_cdf_udf(x):
+    return _vectorised("cdf")(x)

@@ -183,7 +183,7 @@ def lead_lag(panel: DataFrame, target: str, factors: list[str], most: int = 5, s
     w = Window.partitionBy("symbol", "_train").orderBy(*order)
     rows = panel.withColumn("_train", train)
     shifted = F.array(*(F.struct(F.lit(f).alias("factor"), F.lit(k).alias("extra_lag_days"), F.lag(F.col(f).cast("double"), k).over(w).alias("x")) for f in factors for k in range(1, most + 1)))
-    long = rows.select("_train", F.col(target).cast("double").alias("y"), F.explode(shifted).alias("z")).select("_train", "y", "z.*")
+    long = rows.select("_train", F.col(target).cast("double").alias("y"), shifted.alias("z")).select("_train", "y", F.explode("z").alias("z")).select("_train", "y", "z.*")
     known = long.filter("_train AND x IS NOT NULL").groupBy("factor", "extra_lag_days").agg(F.count("*").alias("n"))
     ic = spearman(long, ["_train", "factor", "extra_lag_days"], "x", "y")
     by = ["factor", "extra_lag_days"]
@@ -213,7 +213,7 @@ def anomaly_precursors(panel: DataFrame, target: str, factors: list[str], cut: f
     z = {f"_z_{f}": over_zero(F.col(f) - rolling_mean(F.col(f).cast("double"), w, 60, 1, 20), rolling_std(F.col(f).cast("double"), w, 60, 1, 20)) for f in factors}
     rows = panel.withColumns(z)
     each = F.array(*(F.struct(F.lit(f"{f}_lag{k}").alias("anomaly"), (F.abs(F.lag(f"_z_{f}", k).over(w)) >= cut).alias("hit")) for f in factors for k in (1, 2, 3)))
-    long = rows.select("date", F.col(target).cast("double").alias("ret"), F.explode(each).alias("a")).select("date", "ret", "a.*").filter("hit IS NOT NULL")
+    long = rows.select("date", F.col(target).cast("double").alias("ret"), each.alias("a")).select("date", "ret", F.explode("a").alias("a")).select("date", "ret", "a.*").filter("hit IS NOT NULL")
     hits = measured(long.filter("hit"), ["anomaly"], s.train_end, on=None, p_values=p_values).filter(F.col("is_n") >= s.min_events)
     base = long.filter(~F.col("hit") & (F.col("date") <= F.lit(s.train_end).cast("date"))).groupBy("anomaly").agg(F.avg("ret").alias("base_mean"))
     out = hits.join(base, "anomaly", "left").withColumn("lift", F.col("is_mean") - F.col("base_mean"))

@@ -56,23 +56,25 @@ def _time_column(df: DataFrame, names: tuple[str, ...]) -> str:
     raise ValueError(f"no time column among {df.columns}")
 
 
-def _stem(column="_metadata.file_name"):
-    return F.regexp_replace(F.col(column), r"\.parquet$", "")
+def _symbol(kind: str, path: str = "_metadata.file_path"):
+    """The symbol in a path: a file, or a folder of part files, named for it under the kind's folder."""
+    return F.regexp_extract(F.col(path), rf"/{kind}/([^/]+?)(?:\.parquet)?(?:/[^/]*)?$", 1)
 
 
 def discover_symbols(spark: SparkSession, root: str, configured: list[str] | None = None) -> DataFrame:
     """(symbol): those configured, or else one for each file of minute bars."""
     if configured:
         return spark.createDataFrame([(s,) for s in configured], "symbol string")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/minute_bars")
-    return files.select(_stem("path").alias("p")).select(F.element_at(F.split("p", "/"), -1).alias("symbol")).distinct()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{root}/minute_bars")
+    return files.select(_symbol("minute_bars", "path").alias("symbol")).distinct()
 
 
 def minute_bars(spark: SparkSession, root: str, symbols: list[str] | None = None) -> DataFrame | None:
     """(symbol, ts, open, high, low, close, volume) of all symbols; a filter on symbols skips other files."""
     path = f"{root}/minute_bars" if symbols is None else [f"{root}/minute_bars/{s}.parquet" for s in symbols]
     try:
-        df = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
+        reader = spark.read.option("recursiveFileLookup", "true")
+        df = reader.parquet(path) if isinstance(path, str) else reader.parquet(*path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -82,7 +84,7 @@ def minute_bars(spark: SparkSession, root: str, symbols: list[str] | None = None
     if when is None:
         raise ValueError(f"no time column among {df.columns}")
     values = [F.expr(f"try_cast(`{lower[c]}` AS double)").alias(c) for c in ("open", "high", "low", "close", "volume")]
-    return clean(df.select(_stem().alias("symbol"), F.col(when).cast("timestamp_ntz").alias("ts"), *values))
+    return clean(df.select(_symbol("minute_bars").alias("symbol"), F.col(when).cast("timestamp_ntz").alias("ts"), *values))
 
 
 def daily_series(spark: SparkSession, root: str, key: str, value: str | None = None) -> DataFrame | None:
@@ -109,12 +111,12 @@ def keyed_table(spark: SparkSession, root: str, key: str) -> DataFrame | None:
 def per_symbol_table(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
     """options or futures of all symbols, one file each: symbol, date and the file's columns."""
     try:
-        df = spark.read.parquet(f"{root}/{kind}")
+        df = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{kind}")
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    named = df.withColumn("symbol", _stem())
+    named = df.withColumn("symbol", _symbol(kind))
     named = named.toDF(*(c.lower() for c in named.columns))
     when = _time_column(named, SERIES_TIME_NAMES)
     return clean(named.withColumn("date", F.to_date(when)))
