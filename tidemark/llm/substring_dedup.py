@@ -195,7 +195,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _compare(snippets: DataFrame, length: int) -> DataFrame:
     """Windows of distinct snippets that repeat: (gram, snippet, first, last); where a k-gram is dealt over several blocks
-    also its windows without partner in the block, with a hash."""
+    also its windows without partner in the block, and one of each kind with partners, with a hash."""
     kinds = pa.schema([("gram", pa.int64()), ("snippet", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("hash", pa.binary())])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -204,11 +204,12 @@ def _compare(snippets: DataFrame, length: int) -> DataFrame:
         repeated = repeated_windows(texts, table.column("lead").to_numpy().astype(np.int64), length)
         line, first, last = _runs(repeated)
         parts = [pa.table([gram[line], snippet[line], first.astype(np.int32), last.astype(np.int32), pa.nulls(len(line), pa.binary())], schema=kinds)]
+        seen: set[bytes] = set()  # of windows with a partner here one speaks for all
         for i in np.flatnonzero(split):
-            alone = np.flatnonzero(~repeated[i, : len(texts[i]) - length + 1])
-            hashes = [xxhash.xxh3_128_digest(texts[i][s : s + length]) for s in alone.tolist()]
-            place = alone.astype(np.int32)
-            parts.append(pa.table([np.full(len(alone), gram[i]), np.full(len(alone), snippet[i]), place, place, pa.array(hashes, pa.binary())], schema=kinds))
+            hashes = [xxhash.xxh3_128_digest(texts[i][s : s + length]) for s in range(len(texts[i]) - length + 1)]
+            place = np.array([s for s, h in enumerate(hashes) if not repeated[i, s] or h not in seen], dtype=np.int32)
+            seen.update(h for s, h in enumerate(hashes) if repeated[i, s])
+            parts.append(pa.table([np.full(len(place), gram[i]), np.full(len(place), snippet[i]), place, place, pa.array([hashes[s] for s in place], pa.binary())], schema=kinds))
         return pa.concat_tables(parts)
 
     return snippets.groupBy("block").applyInArrow(compare, "gram long, snippet long, first int, last int, hash binary")
