@@ -27,9 +27,11 @@ def factor_columns(df: DataFrame, targets: list[str], s: Settings = SETTINGS) ->
 
 
 def covered_columns(df: DataFrame, columns: list[str], share: float = 0.6, kinds: int = 2) -> list[str]:
-    """Columns with enough values that aren't missing and enough distinct ones; one pass."""
-    row = df.agg(F.count("*").alias("_n"), *(F.count(c).alias(f"n_{c}") for c in columns), *(F.count_distinct(c).alias(f"k_{c}") for c in columns)).first()
-    return [c for c in columns if row["_n"] and row[f"n_{c}"] > share * row["_n"] and row[f"k_{c}"] >= kinds]
+    """Columns with enough values that aren't missing and enough distinct ones; one pass over unpivoted values."""
+    total = df.count()
+    each = unpivoted(df, columns, []).groupBy("factor").agg(F.count("*").alias("n"), F.count_distinct("x").alias("k"))
+    good = {r.factor for r in each.collect() if r.n > share * total and r.k >= kinds}  # a row for each column
+    return [c for c in columns if c in good]
 
 
 def condition_members(df: DataFrame, conditions: dict[str, Column], ret: str, keep: list[str] = ("date",), name: str = "condition") -> DataFrame:

@@ -164,7 +164,8 @@ def run(spark: SparkSession, root: str, out: str, symbols: list[str] | None = No
     sinks.write_csv(panels.report, f"{out}/audit_report", single=True)
     done = {}
     for name, panel, target in (("gap", panels.gap, GAP_TARGET), ("reversion", panels.reversion, MR_TARGET)):
-        done[name] = run_strategy(panel, target, name, out, s, deep)
+        sinks.write_parquet(panel, f"{out}/{name}_panel")  # searches start from a table, not from the whole plan
+        done[name] = run_strategy(spark.read.parquet(f"{out}/{name}_panel"), target, name, out, s, deep)
         sinks.write_text(spark, summary(name, done[name]), f"{out}/{name}_summary")
     return done
 
