@@ -43,6 +43,12 @@ def root(spark, tmp_path_factory):
     return path
 
 
+@pytest.fixture(scope="module")
+def gap_panel(spark, root):
+    sinks.write_parquet(research.build_panels(spark, root, s=S).gap, f"{root}/panel")
+    return spark.read.parquet(f"{root}/panel")
+
+
 def test_synthetic_bars_are_the_same_however_dealt(spark):
     a, b = (synthetic.synthetic_bars(spark, 2, 5).repartition(k).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("close"), 6).alias("c")).orderBy("symbol").collect() for k in (1, 7))
     assert a == b and a[0].n == 5 * 375
@@ -58,28 +64,26 @@ def test_sources(spark, root):
     assert readers.find_root(spark, ["/nowhere", root]) == root and readers.universe(spark, root) is None
 
 
-def test_panel_has_every_family_and_no_look_ahead(spark, root):
-    p = research.build_panels(spark, root, s=S)
-    have = set(p.gap.columns)
+def test_panel_has_every_family(spark, root, gap_panel):
+    have = set(gap_panel.columns)
     assert {
         "gap_pct", "rvol_open30", "nifty_ret_1d", "vix_pctile_1y", "sp500_overnight", "crude_ret_5d", "usvix_level", "nikkei_ret_1d", "pre_holiday", "opt_iv", "fut_long_buildup", "earnings_today", "news_count",
         "delivery_z20", "fno_ban_exit", "fii_fut_long_short", "fii_net_5d", "si_pctile_90d", "bulk_deal_net5d", "pledge_pct", "index_inclusion_window", "mkt_gap_median", "gap_vs_sector", "ms_vpin", "ms_amihud_z20", "cost_pct",
         "cont_30m", "filled_gap", "tb_hit", "open30_value",
     } <= have
-    assert p.gap.count() > 200 and p.gap.groupBy("symbol", "date").count().filter("count > 1").count() == 0
-    assert p.report.filter("severity = 'CRITICAL' AND symbol = '*UNIVERSE*'").count() == 1
-    assert p.gap.filter("abs(gap_pct) < 0.5").count() == 0
-
-
-def test_run_finds_the_planted_edge(spark, root, tmp_path):
-    done = research.run(spark, root, str(tmp_path), s=S, deep=False)
-    level1 = {r.factor: r for r in done["gap"]["single_factors"].collect()}
-    assert level1["rvol_open30"].best_mean > 0.2 and level1["rvol_open30"].fdr_pass
-    assert "gauntlet" in done["gap"] and "calendar" in done["reversion"]
-    text = spark.read.text(f"{tmp_path}/gap_summary").agg(F.count("*")).first()[0]
-    assert text > 10
-    g, b, spa = (done["gap"][k] for k in ("gauntlet", "boundaries", "spa"))
-    assert research.confirmed_rules(g, b, spa).count() <= g.count()
+    assert gap_panel.count() > 200 and gap_panel.groupBy("symbol", "date").count().filter("count > 1").count() == 0
+    assert gap_panel.filter("abs(gap_pct) < 0.5").count() == 0
+
+
+def test_strategy_finds_the_planted_edge(spark, gap_panel, tmp_path):
+    few = gap_panel.select("symbol", "date", "event_id", "open30_value", "cost_pct", "cont_30m", "rvol_open30", "day_of_week", "zscore_20d", "nifty_ret_1d")
+    done = research.run_strategy(few, "cont_30m", "gap", str(tmp_path), S, deep=False)
+    level1 = {r.factor: r for r in done["single_factors"].collect()}
+    assert level1["rvol_open30"].best_mean > 0.1 and level1["rvol_open30"].fdr_pass
+    assert {"hypotheses", "calendar", "gauntlet", "boundaries", "spa", "book"} <= set(done)
+    sinks.write_text(spark, research.summary("gap", {k: done[k] for k in ("single_factors", "gauntlet")}), f"{tmp_path}/report")
+    assert spark.read.text(f"{tmp_path}/report").count() > 5
+    assert research.confirmed_rules(done["gauntlet"], done["boundaries"], done["spa"]).count() <= done["gauntlet"].count()
 
 
 def test_trade_sheet(spark):

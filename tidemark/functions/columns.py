@@ -31,6 +31,13 @@ def over_zero(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))
 
 
+def corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation over rows that have both values; NULL where one of them doesn't vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return over_zero(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def series(by: str | list[str] = "symbol", order: str | list[str] = "date") -> WindowSpec:
     by, order = ([x] if isinstance(x, str) else x for x in (by, order))
     return Window.partitionBy(*by).orderBy(*order)

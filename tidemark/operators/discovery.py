@@ -38,6 +38,8 @@ def condition_members(df: DataFrame, conditions: dict[str, Column], ret: str, ke
     """(condition, keep..., ret): a row for each condition that an event meets; unknown counts as not met."""
     parts = []
     items = list(conditions.items())
+    if not items:
+        return df.select(*keep, F.col(ret).alias("ret"), F.lit(None).cast("string").alias(name)).limit(0)
     for i in range(0, len(items), BATCH):
         each = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in items[i : i + BATCH]))
         parts.append(df.select(*keep, F.col(ret).alias("ret"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias(name)))

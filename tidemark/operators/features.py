@@ -57,9 +57,10 @@ def _daily(reg: Registry, key: str, value: str | None = None) -> DataFrame | Non
     return None if s is None else s.filter("value IS NOT NULL").groupBy(F.to_date("ts").alias("date")).agg(F.max_by("value", "ts").alias("value"))
 
 
-def market(frame: DataFrame, reg: Registry, strict_asof: bool = False) -> DataFrame:
-    """Market-wide factors. strict_asof: foreign closes count from the next day on, where rows bear the session's own date."""
+def market(frame: DataFrame, reg: Registry, strict_asof: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """Market-wide factors. base: the frame's keys by a short plan. strict_asof: foreign closes count from the next day on, where rows bear the session's own date."""
 
+    base = frame if base is None else base
     whole = Window.partitionBy(F.lit(0)).orderBy("date")  # a market-wide series is one short calendar
 
     def change(s: DataFrame, k: int = 1):
@@ -79,18 +80,18 @@ def market(frame: DataFrame, reg: Registry, strict_asof: bool = False) -> DataFr
     for key, name, k in (("sp500", "sp500_overnight", 1), ("crude", "crude_ret_1d", 1), ("crude", "crude_ret_5d", 5), ("usdinr", "usdinr_ret_1d", 1), ("us_vix", "usvix_ret_1d", 1),
                          ("us_10y", "us10y_ret_1d", 1), ("dollar_index", "dxy_ret_1d", 1), ("gold", "gold_ret_1d", 1), ("copper", "copper_ret_1d", 1)):
         if (s := _daily(reg, key)) is not None:
-            out = asof(out, change(s, k).select("date", F.col("_c").alias(name)), [name], strict=strict_asof)
+            out = asof(out, change(s, k).select("date", F.col("_c").alias(name)), [name], strict=strict_asof, calendar=base)
     if (s := _daily(reg, "us_vix")) is not None:
-        out = asof(out, s.select("date", F.col("value").alias("usvix_level")), ["usvix_level"], strict=strict_asof)
+        out = asof(out, s.select("date", F.col("value").alias("usvix_level")), ["usvix_level"], strict=strict_asof, calendar=base)
     for key, name in (("nikkei", "nikkei_ret_1d"), ("hang_seng", "hsi_ret_1d")):
         if (s := _daily(reg, key)) is not None:
-            out = asof(out, change(s).select("date", F.lag("_c").over(whole).alias(name)), [name])
+            out = asof(out, change(s).select("date", F.lag("_c").over(whole).alias(name)), [name], calendar=base)
     if (g := _daily(reg, "gift_nifty", "niftyopen")) is not None and (s := _daily(reg, "nifty")) is not None:
-        out = asof(out, g.select("date", F.col("value").alias("_g")), ["_g"])
+        out = asof(out, g.select("date", F.col("value").alias("_g")), ["_g"], calendar=base)
         out = exact(out, s.select("date", F.lag("value").over(whole).alias("_n")), ["date"]).withColumn("gift_premium_pct", over_zero(F.col("_g") - F.col("_n"), F.col("_n")) * 100).drop("_g", "_n")
     if (s := _daily(reg, "rbi_repo", "repo_rate")) is not None:
         c = s.select("date", F.col("value").alias("repo_rate"), F.coalesce((F.col("value") != F.lag("value", 5).over(whole)).cast("int"), F.lit(1)).alias("repo_chg_recent"))
-        out = asof(out, c, ["repo_rate", "repo_chg_recent"])
+        out = asof(out, c, ["repo_rate", "repo_chg_recent"], calendar=base)
     if (t := reg.get("fii_dii")) is not None and "fii_net" in t.columns:
         n = F.col("fii_net").cast("double")
         c = t.groupBy("date").agg(F.last("fii_net").alias("fii_net")).select("date", F.lag(n).over(whole).alias("fii_net_prev"), rolling_sum(n, whole, 5, 1).alias("fii_net_5d"))
@@ -139,7 +140,7 @@ def events(frame: DataFrame, reg: Registry) -> DataFrame:
     return out
 
 
-def smart_money(frame: DataFrame, reg: Registry) -> DataFrame:
+def smart_money(frame: DataFrame, reg: Registry, base: DataFrame | None = None) -> DataFrame:
     """Delivery, bans, participants, shorts, bulk deals, sector rotation, pledges, index changes."""
     w, out, keys = series(), frame, ["symbol", "date"]
     whole = Window.partitionBy(F.lit(0)).orderBy("date")
@@ -181,7 +182,7 @@ def smart_money(frame: DataFrame, reg: Registry) -> DataFrame:
     if (t := reg.get("promoter_pledges")) is not None:
         p = densify(t.groupBy(*keys).agg(F.first("pledge_pct").cast("double").alias("_p")), ["symbol"], business=False)
         p = p.withColumn("_p", carried(F.col("_p"), w)).select(*keys, F.col("_p").alias("pledge_pct"), (F.col("_p") - F.lag("_p", 90).over(w)).alias("pledge_chg_90d"))
-        out = asof(out, p, ["pledge_pct", "pledge_chg_90d"], by=["symbol"])
+        out = asof(out, p, ["pledge_pct", "pledge_chg_90d"], by=["symbol"], calendar=frame if base is None else base)
     if (t := reg.get("constituent_changes")) is not None:
         for name, start in (("index_inclusion_window", "INC"), ("index_exclusion_window", "EXC")):
             out = near_flag(out, t.filter(F.upper("action").startswith(start)), 10, ["symbol"], name)
@@ -199,9 +200,10 @@ def cross_section(frame: DataFrame, sectors: DataFrame | None = None, x: str = "
 
 def assemble(daily: DataFrame, reg: Registry | None = None, strict_asof: bool = True) -> DataFrame:
     """All families whose sources are there."""
-    out = price_volume(daily)
     if reg is None:
-        return cross_section(out)
-    for family in (lambda f: market(f, reg, strict_asof), lambda f: derivatives(f, reg), lambda f: events(f, reg), lambda f: smart_money(f, reg)):
+        return cross_section(price_volume(daily))
+    base = daily.select("symbol", "date")
+    out = cross_section(price_volume(daily), reg.get("sector_map"))
+    for family in (lambda f: market(f, reg, strict_asof, base), lambda f: derivatives(f, reg), lambda f: events(f, reg), lambda f: smart_money(f, reg, base)):
         out = family(out)
-    return cross_section(out, reg.get("sector_map"))
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS, Settings
-from tidemark.functions.columns import over_zero, pct_rank, rolling_mean, rolling_pct_rank, rolling_std
+from tidemark.functions.columns import corr, over_zero, pct_rank, rolling_mean, rolling_pct_rank, rolling_std
 from tidemark.operators.stats import spearman
 
 
@@ -241,7 +241,7 @@ def review_pack(alphas: DataFrame, panel: DataFrame) -> DataFrame:
         out, (c,) = evaluated(panel, [f], "_d")
         leaves = sorted(f.leaves())
         high = out.agg(F.percentile(c, 0.9)).first()[0]
-        corr = out.agg(*(F.corr(c, F.col(x).cast("double")).alias(x) for x in leaves[:6])).first().asDict()
+        corr = out.agg(*(corr(c, F.col(x).cast("double")).alias(x) for x in leaves[:6])).first().asDict()
         day = out.groupBy("date").agg(F.avg(F.coalesce((F.col(c) > F.lit(high)).cast("double"), F.lit(0.0))).alias("t"))
         churn = day.select(F.abs(F.col("t") - F.lag("t").over(Window.partitionBy(F.lit(0)).orderBy("date"))).alias("d")).agg(F.avg("d")).first()[0]  # one row for each day
         known = {k: round(v, 3) for k, v in corr.items() if v is not None and v == v}

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, series: DataFrame, values: list[str], by: list[str] | None = None, on: str = "date", strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, series: DataFrame, values: list[str], by: list[str] | None = None, on: str = "date", strict: bool = False, calendar: DataFrame | None = None) -> DataFrame:
     """left with the series' last row at or before (strict: before) each date, even if that row's values are missing.
 
     The dates of left and of the series are merged and the last row carried over them; left itself is only joined on
-    the date at the end, so it isn't sorted.
+    the date at the end, so it isn't sorted. calendar: where left's dates come from, if that is a shorter plan than left;
+    chains of lookups need it, for each would otherwise hold its left side twice.
     """
     by = by or []
-    asked = left.select(*by, on).distinct().select(*by, on, F.lit(None).cast(series.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("row"), F.lit(0 if strict else 1).alias("place"))
+    asked = (left if calendar is None else calendar).select(*by, on).distinct().select(*by, on, F.lit(None).cast(series.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("row"), F.lit(0 if strict else 1).alias("place"))
     given = series.filter(F.col(on).isNotNull()).select(*by, on, F.struct(*values).alias("row"), F.lit(1 if strict else 0).alias("place"))
     w = Window.partitionBy(*by).orderBy(on, "place").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.lit(1 if strict else 0)

@@ -47,7 +47,7 @@ def triple_barrier(bars: DataFrame, entries: DataFrame, s: Settings = SETTINGS)
     out = aims.join(ends, DAY, "left")
     hit = F.when(F.col("_out").isNull(), None).when(stop, -1).when(F.col("_w").isNotNull(), 1).otherwise(0)
     gain = F.when(F.col("_out").isNull(), None).when(stop, -s.tb_dn_mult * F.col("atr_pct")).when(F.col("_w").isNotNull(), s.tb_up_mult * F.col("atr_pct"))
-    return out.withColumns({"tb_hit": hit, "tb_ret": gain.otherwise(F.col("direction") * (F.col("_out") - F.col("_in")) / F.col("_in") * 100)}).drop("_in", "_up", "_dn", "_w", "_l", "_out")
+    return out.withColumns({"tb_hit": hit, "tb_ret": gain.otherwise(F.col("direction") * over_zero(F.col("_out") - F.col("_in"), F.col("_in")) * 100)}).drop("_in", "_up", "_dn", "_w", "_l", "_out")
 
 
 def gap_go(bars: DataFrame, gaps: DataFrame, s: Settings = SETTINGS, start: str | None = "09:15", end: str | None = "15:30", least_bars: int = 5) -> DataFrame:
@@ -59,8 +59,8 @@ def gap_go(bars: DataFrame, gaps: DataFrame, s: Settings = SETTINGS, start: str
     firsts = day.groupBy(*DAY, "gap_pct").agg(
         F.min_by("open", "i").alias("_o"), F.max_by("close", "i").alias("_c"), *(F.max_by("close", F.when(F.col("i") < max(h, 1), F.col("i"))).alias(f"_c{h}") for h in s.gap_go_horizons)
     )
-    moved = lambda c: sign * (F.col(c) - F.col("_o")) / F.col("_o") * 100
-    out = firsts.withColumns({f"cont_{h}m": moved(f"_c{h}") for h in s.gap_go_horizons} | {"cont_close": moved("_c"), "_before": F.col("_o") / (1 + F.col("gap_pct") / 100)})
+    moved = lambda c: sign * over_zero(F.col(c) - F.col("_o"), F.col("_o")) * 100
+    out = firsts.withColumns({f"cont_{h}m": moved(f"_c{h}") for h in s.gap_go_horizons} | {"cont_close": moved("_c"), "_before": over_zero(F.col("_o"), 1 + F.col("gap_pct") / 100)})
     out = out.withColumns({f"go_{h}m": (F.col(f"cont_{h}m") > 0).cast("int") for h in s.gap_go_horizons})
     touched = day.join(out.select(*DAY, "_before"), DAY).groupBy(*DAY).agg(F.max(((F.col("low") <= F.col("_before")) & (F.col("high") >= F.col("_before"))).cast("int")).alias("filled_gap"))
     entries = out.select(*DAY, F.lit(0).alias("entry"), F.signum("gap_pct").alias("direction"))
@@ -90,7 +90,7 @@ def mean_reversion(bars: DataFrame, s: Settings = SETTINGS, start: str | None =
     at = lambda h: F.max(F.when(F.col("i") == F.least(F.col("entry") + h, F.col("_n") - 1), F.col("close")))
     prices = later.groupBy(*DAY).agg(*(at(h).alias(f"_c{h}") for h in s.mr_horizons))
     out = entries.join(prices, DAY)
-    out = out.withColumns({f"revert_{h}m": F.col("direction") * (F.col(f"_c{h}") - F.col("_p")) / F.col("_p") * 100 for h in s.mr_horizons})
+    out = out.withColumns({f"revert_{h}m": F.col("direction") * over_zero(F.col(f"_c{h}") - F.col("_p"), F.col("_p")) * 100 for h in s.mr_horizons})
     out = out.withColumns({f"rev_{h}m": (F.col(f"revert_{h}m") > 0).cast("int") for h in s.mr_horizons})
     barriers = triple_barrier(d, day_range(d, entries.select(*DAY, "entry", "direction")), s).select(*DAY, "tb_ret", "tb_hit")
     names = [f"revert_{h}m" for h in s.mr_horizons] + [f"rev_{h}m" for h in s.mr_horizons]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS, Settings
+from tidemark.functions.columns import corr
 from tidemark.operators.joins import densify
 
 
@@ -29,7 +30,7 @@ def pnl_correlation(members: DataFrame, s: Settings = SETTINGS, least_days: int
     """(rule_a, rule_b, corr, days, flagged): correlation of daily results over common days."""
     p = daily_pnl(members)
     a, b = p.select(F.col("rule").alias("rule_a"), "date", F.col("pnl").alias("x")), p.select(F.col("rule").alias("rule_b"), "date", F.col("pnl").alias("y"))
-    out = a.join(b, "date").filter("rule_a < rule_b").groupBy("rule_a", "rule_b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("days"))
+    out = a.join(b, "date").filter("rule_a < rule_b").groupBy("rule_a", "rule_b").agg(corr("x", "y").alias("corr"), F.count("*").alias("days"))
     return out.withColumn("flagged", F.coalesce((F.abs("corr") > s.port_corr_max) & (F.col("days") >= least_days), F.lit(False)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS, Settings
+from tidemark.functions.columns import over_zero
 from tidemark.operators.stats import measured
 
 
@@ -41,7 +42,7 @@ def shrunk_by_symbol(members: DataFrame, least: int = 10) -> DataFrame:
     pooled = rows.groupBy("rule").agg(F.avg("net").alias("grand"), F.var_samp("net").alias("var"))
     each = rows.groupBy("rule", "symbol").agg(F.avg("net").alias("mean"), F.count("*").alias("n")).filter(F.col("n") >= least).join(F.broadcast(pooled), "rule")  # a row for each rule
     off, noise = F.col("mean") - F.col("grand"), F.col("var") / F.col("n")
-    return each.withColumn("shrunk", F.col("grand") + (1 - noise / (off * off + noise)) * off)
+    return each.withColumn("shrunk", F.col("grand") + (1 - F.coalesce(over_zero(noise, off * off + noise), F.lit(0.0))) * off)
 
 
 def james_stein(members: DataFrame, least_symbols: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS
-from tidemark.functions.columns import over_zero
+from tidemark.functions.columns import corr, over_zero
 from tidemark.functions.distributions import t_p_value
 
 
@@ -31,7 +31,7 @@ def effective_n(members: DataFrame, by: list[str], ret: str = "ret", on: str = "
     n, days_, bar = F.col("n"), F.col("days"), F.col("n") / F.col("days")
     centre = F.col("s") * F.col("s") / n
     total, between = F.col("q") - centre, F.col("b") - centre
-    icc = F.greatest(F.lit(0.0), F.least(F.lit(0.99), (over_zero(between, total) - 1 / bar) / (1 - 1 / bar)))
+    icc = F.greatest(F.lit(0.0), F.least(F.lit(0.99), over_zero(over_zero(between, total) - 1 / bar, 1 - 1 / bar)))
     worth = F.greatest(F.least(n / (1 + (bar - 1) * icc), n), days_)
     return sums.select(*by, F.when((n < 30) | (bar <= 1.5) | (total <= 0), n).otherwise(worth).alias("n_eff"))
 
@@ -107,7 +107,7 @@ def bucket_analysis(long: DataFrame, buckets: int = SETTINGS.n_buckets, least: i
     kept = found.withColumns({"_total": total, "_least": smallest}).filter((F.col("_total") >= 2 * least) & (F.col("_least") >= least // buckets))
     side = Window.partitionBy("factor", "core")
     ranks = kept.withColumns({"_a": F.rank().over(side.orderBy("lo")).cast("double"), "_b": F.rank().over(side.orderBy("mean_ret")) + (F.count("*").over(side.orderBy("mean_ret").rangeBetween(0, 0)) - 1) / 2})
-    rho = ranks.filter(inner).groupBy("factor").agg(F.when(F.count("*") >= 3, F.corr("_a", "_b")).alias("monotonicity"))
+    rho = ranks.filter(inner).groupBy("factor").agg(F.when(F.count("*") >= 3, corr("_a", "_b")).alias("monotonicity"))
     return ranks.drop("_total", "_least", "_a", "_b").join(rho, "factor", "left")
 
 
@@ -178,4 +178,4 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     def rank(c):
         return F.rank().over(group.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
-    return both.select(*by, rank(x).alias("_a"), rank(y).alias("_b")).groupBy(*by).agg(F.corr("_a", "_b").alias("ic"), F.count("*").alias("n"))
+    return both.select(*by, rank(x).alias("_a"), rank(y).alias("_b")).groupBy(*by).agg(corr("_a", "_b").alias("ic"), F.count("*").alias("n"))

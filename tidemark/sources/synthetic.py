@@ -47,7 +47,8 @@ def synthetic_bars(spark: SparkSession, symbols: int = 8, days: int = 1000, end:
     # Noise that is zero at either end of the day lies on a straight drift, so that days join up.
     share = (F.col("m") + 1) / minutes
     wave = _normal(*place, F.lit("n")) * 0.05 * F.sqrt(share * (1 - share))
-    last = F.col("start") * F.exp(((F.col("drift") + F.col("walk")) * share + wave) / 100)
+    early = F.least((F.col("m") + 1) / BURST_BARS, F.lit(1.0))  # the planted drift is over when the busy bars are
+    last = F.col("start") * F.exp((F.col("drift") * early + F.col("walk") * share + wave) / 100)
     m = m.withColumn("close", last)
     day = Window.partitionBy("symbol", "day").orderBy("m")
     m = m.withColumn("open", F.coalesce(F.lag("close").over(day), F.col("start")))
