@@ -241,10 +241,10 @@ def review_pack(alphas: DataFrame, panel: DataFrame) -> DataFrame:
         out, (c,) = evaluated(panel, [f], "_d")
         leaves = sorted(f.leaves())
         high = out.agg(F.percentile(c, 0.9)).first()[0]
-        corr = out.agg(*(corr(c, F.col(x).cast("double")).alias(x) for x in leaves[:6])).first().asDict()
+        shared = out.agg(*(corr(c, F.col(x).cast("double")).alias(x) for x in leaves[:6])).first().asDict()
         day = out.groupBy("date").agg(F.avg(F.coalesce((F.col(c) > F.lit(high)).cast("double"), F.lit(0.0))).alias("t"))
         churn = day.select(F.abs(F.col("t") - F.lag("t").over(Window.partitionBy(F.lit(0)).orderBy("date"))).alias("d")).agg(F.avg("d")).first()[0]  # one row for each day
-        known = {k: round(v, 3) for k, v in corr.items() if v is not None and v == v}
+        known = {k: round(v, 3) for k, v in shared.items() if v is not None and v == v}
         most = max(map(abs, known.values()), default=None)
         rows.append((r.formula, r.oos_ic, ", ".join(leaves), known, most, bool(most and most > 0.9), churn, "REQUIRED: say why this should predict returns", False))
     schema = "formula string, oos_ic double, raw_factors_used string, factor_correlations map<string,double>, max_factor_redundancy double, likely_rediscovery boolean, top_decile_daily_churn double, economic_rationale string, approved boolean"

@@ -67,7 +67,7 @@ r AS (SELECT *, CASE WHEN count(tr) OVER w14 = 14 THEN avg(tr) OVER w14 END / cl
       w5 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w60 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING),
       v20 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 21 PRECEDING AND 2 PRECEDING), w252 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)),
 s AS (SELECT *, sum(up) OVER (PARTITION BY symbol, run ORDER BY date) AS streak FROM r)
-SELECT symbol, date, round(gap, 6) AS gap_pct, sign(gap) AS gap_dir, round(lag(chg) OVER w * 100, 6) AS ret_1d, round((pc / pc6 - 1) * 100, 6) AS ret_5d, round(lag(atr) OVER w * 100, 6) AS atr14_pct,
+SELECT symbol, date, round(gap, 6) AS gap_pct, CAST(sign(gap) AS DOUBLE) AS gap_dir, round(lag(chg) OVER w * 100, 6) AS ret_1d, round((pc / pc6 - 1) * 100, 6) AS ret_5d, round(lag(atr) OVER w * 100, 6) AS atr14_pct,
        round(sd20 * sqrt(252.0) * 100, 6) AS rv20, round(abs(gap) / nullif(lag(atr) OVER w * 100, 0), 6) AS gap_vs_atr, round(r5 / nullif(r60, 0), 6) AS range_compression, round(pv / nullif(v20, 0), 6) AS rvol_20d,
        round((open - ph) / pc * 100, 6) AS dist_prev_high, round((open - pl) / pc * 100, 6) AS dist_prev_low, round(open / hi - 1, 6) AS dist_52w_high, round(open / lo - 1, 6) AS dist_52w_low,
        CAST(lag(streak) OVER w AS BIGINT) AS up_streak, round((open - m20) / nullif(s20, 0), 6) AS zscore_20d, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CASE WHEN day(date) >= 28 THEN 1 ELSE 0 END AS is_month_end
