@@ -2,8 +2,10 @@
 
 import glob
 import os
+from numbers import Number
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -27,7 +29,7 @@ def duck():
 
 
 def normal(df: pd.DataFrame) -> list[tuple]:
-    one = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    one = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else round(float(x), 6) + 0.0 if isinstance(x, Number) and not isinstance(x, (bool, np.bool_)) else str(x)
     return sorted((tuple(one(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 

@@ -196,7 +196,7 @@ def stale_runs(spark, sf):
 
 
 @query("audit_issues", f"""WITH {S.DAYS_SQL}, j AS (SELECT symbol, (open - lag(close) OVER w) / lag(close) OVER w * 100 AS jump_pct FROM d WINDOW w AS (PARTITION BY symbol ORDER BY date))
-SELECT 'CRITICAL' AS severity, count(*) + 1 AS n FROM j WHERE abs(jump_pct) > 300""")
+SELECT 'CRITICAL' AS severity, count(*) + 1 AS n FROM j WHERE abs(jump_pct) > 300 UNION ALL SELECT 'warning', count(*) FROM (SELECT symbol FROM d GROUP BY symbol HAVING count(*) < 250) HAVING count(*) > 0""")
 def audit_issues(spark, sf):
     return audit.by_severity(audit.issues(audit.checks(S.order_days(spark, sf), None, T).withColumn("stale", F.lit(False)), universe_known=False, s=T))
 
