@@ -1,6 +1,8 @@
 """The corpus operators against brute force, round trips and planted cases, with the odd inputs that docstrings define."""
 
+import contextlib
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -28,6 +30,26 @@ def stored(spark, rows, parts=3):
     return spark.read.parquet(path)
 
 
+@contextlib.contextmanager
+def other_splits(spark, monkeypatch, module, name):
+    """After each table that the module writes, the source's files are split otherwise, as after a lost or new executor."""
+    key, sizes, write = "spark.sql.files.maxPartitionBytes", itertools.cycle([1 << 9, 1 << 13, 1 << 10]), getattr(module, name)
+    old = {k: spark.conf.get(k) for k in (key, "spark.sql.files.openCostInBytes")}
+
+    def resplit(df, label):
+        out = write(df, label)
+        spark.conf.set(key, str(next(sizes)))
+        return out
+
+    monkeypatch.setattr(module, name, resplit)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def words(rng, n, vocabulary=400):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
@@ -93,6 +115,13 @@ def test_substring_dedup_pieces_of_long_texts(monkeypatch, spark):
     assert got == brute_removed(rows, 80)
 
 
+def test_substring_dedup_when_the_source_is_split_otherwise_between_scans(spark, corpus, monkeypatch):
+    docs = stored(spark, corpus, 6)
+    with other_splits(spark, monkeypatch, substring_dedup, "tidied"):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in substring_dedup.remove_repeats(docs, 80).collect())
+    assert got == brute_removed(corpus, 80)
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.remove_repeats(stored(spark, [])).count() == 0
 

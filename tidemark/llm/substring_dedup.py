@@ -16,8 +16,8 @@ block of text in one task:
 
 Matches never cross documents, and strings are judged on the input. Defined results: null and empty texts have
 no bytes and lose none; repeated rows (same doc_id, same text) are documents of their own, so each
-loses what the other has; an empty table gives no rows; of a very long text every window counts. The
-source must give its rows in the same partitions whenever it is read (files do).
+loses what the other has; an empty table gives no rows; of a very long text every window counts. Rows
+are numbered once, in a table written to the shared folder; every later scan reads the stored numbers.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, text_or_empty, tidied
+from tidemark.llm.common import prepare, text_or_empty, tidied, written
 from tidemark.llm.suffix import suffix_array
 
 LENGTH = 200
@@ -268,7 +268,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept): removed: maximal runs [start, stop) of removed bytes; kept: the other bytes."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8").alias("bytes"))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8").alias("bytes")), "repeats-rows")
     # A document's ranges are at most as many as its anchors.
     lists = find_repeats(rows.select("row", "bytes"), length).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     lists = tidied(lists, "repeats-ranges")
