@@ -399,6 +399,14 @@ def test_exact_copies_against_brute_force(spark, corpus):
     assert exact_dedup.find_copies(stored(spark, [])).count() == 0
 
 
+def test_exact_copies_when_the_source_is_split_otherwise_between_scans(spark, corpus, monkeypatch):
+    docs = stored(spark, corpus, 6)
+    want = {re.sub("[\x20\x09-\x0d]", "", t or "") for _, t in corpus}
+    with other_splits(spark, monkeypatch, exact_dedup, "written"):
+        kept = [re.sub("[\x20\x09-\x0d]", "", r.text or "") for r in exact_dedup.keep_first(docs).collect()]
+    assert sorted(kept) == sorted(want)
+
+
 # ---- n-gram Jaccard (9)
 
 

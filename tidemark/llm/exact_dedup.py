@@ -99,13 +99,13 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fingerprint") -> Dat
     return filters.groupBy("block").applyInArrow(merge, "fingerprint long, copies long")
 
 
-def find_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, row): one row for each row of docs."""
+def find_copies(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, row): one row for each row of docs. row: a column with stored row numbers."""
     prepare(docs.sparkSession)
     text = text_or_empty()
     norm = F.regexp_replace(text, BLANKS, "")
     facts = written(
-        docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), F.length(text).alias("points"), norm.alias("norm"))
+        docs.select(F.col("doc_id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.length(text).alias("points"), norm.alias("norm"))
         .select("doc_id", "row", "points", F.xxhash64("norm").alias("fingerprint"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")),
         "dedup-facts",
     )
@@ -128,8 +128,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     row = "__row"
     while row in docs.columns:
         row += "_"
-    kept = find_copies(docs).filter("kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    kept = find_copies(numbered, row).filter("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def op8_quotient_filter_dedup(spark, sf_dir: str) -> DataFrame:
