@@ -477,6 +477,14 @@ def test_keep_one_of_each_group(spark, corpus):
     assert jaccard.near_groups(documents(spark, [])).count() == 0
 
 
+def test_keep_one_decides_by_row_where_ids_are_null_or_repeated(spark):
+    rng = random.Random(11)
+    a, b, c, clean = (words(rng, 80, 10**6) for _ in range(4))
+    rows = [(None, a), (None, a + " more"), (5, b), (5, b + " more"), (6, c), (7, c + " more"), (7, clean), (None, clean + " more"), (None, ""), (None, None)]
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(stored(spark, rows, 1)).collect())
+    assert kept == Counter([rows[i] for i in (0, 2, 4, 6, 8, 9)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, text_or_empty, tidied
+from tidemark.llm.common import prepare, text_or_empty, tidied, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import Shingler, mix
 
@@ -365,9 +365,20 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs of which one for each near-duplicate group stays (that with the smallest doc_id), all columns as they are."""
-    kept = tidied(near_groups(docs, k, num, den).filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct(), "near-kept")
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of docs of which one for each near-duplicate group stays, all columns as they are.
+
+    Rows are linked and decided by stored numbers, so null and repeated doc_ids are documents of their own; of a
+    group the row with the smallest doc_id stays (null ids last), of equal ids the first row.
+    """
+    prepare(docs.sparkSession)
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    found = near_groups(numbered.select(F.col(row).alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("first"))
+    kept = tidied(numbered.select(row, F.col("doc_id").cast("long").alias("doc_id")).join(found, row).groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.first").alias(row)), "near-kept")
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
