@@ -120,3 +120,10 @@ def test_drift_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.date, round(r.cusum, 6), r.alarm) for r in spark.table("drift_out").collect())
     assert [x[1] for x in got] == pytest.approx([0.75 * (i + 1) for i in range(15)]) and [x[2] for x in got].index(True) == 10
+
+
+def test_market_factors_by_words_anywhere_in_the_name():
+    from tidemark.plans.research import market_factors
+
+    assert market_factors(["usvix_ret_1d", "rvol_20d", "gap_vs_sector", "nifty_ret_1d"]) == ["usvix_ret_1d", "gap_vs_sector", "nifty_ret_1d"]
+    assert market_factors(["rvol_20d"]) == []

@@ -13,6 +13,7 @@ from tidemark.sources import readers, sinks
 
 #: Symbols with fewer bars than this are left out of panels.
 LEAST_BARS = 500
+MARKET_WORDS = ("nifty", "sp500", "crude", "usdinr", "vix", "fii", "sector", "mkt_")
 GAP_TARGET, MR_TARGET = "cont_30m", "revert_30m"
 
 
@@ -74,6 +75,11 @@ def rule_members(panel: DataFrame, target: str, conditions: dict[str, Column]) -
     return rows.select("symbol", "date", "event_id", "open30_value", "net", "r.*")
 
 
+def market_factors(factors: list[str]) -> list[str]:
+    """Factors whose names contain a word of the market as a whole."""
+    return [f for f in factors if any(w in f for w in MARKET_WORDS)]
+
+
 def run_strategy(panel: DataFrame, target: str, name: str, out: str, s: Settings = SETTINGS, deep: bool = True) -> dict[str, DataFrame]:
     """All levels on one panel; each result table is written under `out` and returned as read from there."""
     spark = panel.sparkSession
@@ -98,7 +104,8 @@ def run_strategy(panel: DataFrame, target: str, name: str, out: str, s: Settings
         keep("combinations", discovery.combinations_of(panel, target, level1, s))
         thresholds = keep("thresholds", discovery.optimal_thresholds(panel, target, factors, s))
         keep("regimes", discovery.regime_conditional(panel, target, factors[:30], s=s))
-        keep("lead_lag", discovery.lead_lag(panel, target, [f for f in factors if f.startswith(("nifty", "sp500", "crude", "usdinr", "vix", "fii", "sector", "mkt_"))] or factors[:1], s=s))
+        if found := market_factors(factors):
+            keep("lead_lag", discovery.lead_lag(panel, target, found, s=s))
         keep("sequences", discovery.sequence_patterns(panel, target, s=s))
         if found := [f for f in s.anomaly_candidates if f in factors]:
             keep("anomalies", discovery.anomaly_precursors(panel, target, found, s=s))
