@@ -1,86 +1,60 @@
 """Exact dedup through counting quotient filters.
 
-The text without white space is fingerprinted with 64 bits. The fingerprint's high bits (the quotient)
-name a slot, the low bits (the remainder) are stored in it, sorted, with a count. Every scan partition
-builds one filter for its rows and hands it on in blocks, one for each range of quotients; the blocks of a range, from all
-partitions, merge losslessly by their sorted remainders. Fingerprints counted more than once route
-their rows to verification over all bytes of the normalised text (its SHA-256); all others are unique.
-
-Defined results: null and empty texts equal each other and any text of white space; an empty table
-gives no rows; of equal texts the one with most code points stays, then the smallest doc_id (null ids
-last); of repeated rows (same doc_id, same text) one row is kept.
+The text without white space is fingerprinted with 64 bits. The first bits of a fingerprint name a block, the others go
+into a counting quotient filter (quotient_filter.py). Every scan partition builds one filter for each block that its
+rows touch; the filters of a block, from all partitions, merge losslessly by their sorted remainders. Fingerprints counted
+more than once route their rows, with the normalised texts, to byte verification: texts are equal if all their bytes are.
+Equal texts are combined where they are read before they are shuffled, so a group of copies is one text for each task.
+
+A fingerprint under which only one text was found names its group by itself; where different texts share one, rows find
+their group by the text again. Rows are numbered once, in a table written to the shared folder.
+
+Defined results: null and empty texts equal each other and any text of white space; an empty table gives no rows; of
+equal texts the one with most code points stays, then the smallest doc_id (null ids last), then the first row, so of
+repeated rows (same doc_id, same text) one is kept; very long texts are compared whole; doc_ids may be of any type that has an order;
+other columns, whatever their names, stay as they are in keep_first.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, text_or_empty, written
+from tidemark.llm.common import BROADCAST_BYTES, free_name, joined_groups, prepare, text_or_empty, written
+from tidemark.llm.quotient_filter import CountingQuotientFilter
 
 #: The characters that don't count: [\x20\x09-\x0D].
 BLANKS = "[\\x20\\x09-\\x0D]"
-#: Bits of the quotient; a block covers a range of quotients with about so many rows of the whole input.
-QUOTIENT_BITS, BLOCK_ROWS = 32, 2_000_000
-#: Fingerprints that a partition's filter takes before it is handed on and a new one begins.
+#: Rows of the whole input for each block, about; a power of two of blocks is made.
+BLOCK_ROWS = 4_000_000
+#: Fingerprints that a partition's filters take before they are handed on and new ones begin.
 FILTER_ROWS = 4_000_000
+#: Shares that a text's group is dealt over where different texts have one fingerprint.
+SALTS = 32
 
 
-class QuotientFilter:
-    """A counting quotient filter in its sorted form: for each used slot the remainders, ascending, with counts."""
-
-    def __init__(self, quotients: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.quotients, self.remainders, self.counts = quotients, remainders, counts
-
-    @classmethod
-    def build(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None) -> QuotientFilter:
-        order = np.argsort(fingerprints, kind="stable")
-        held = fingerprints[order]
-        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, dtype=np.int64)
-        weights = np.ones(len(held), dtype=np.int64) if counts is None else counts[order]
-        total = np.add.reduceat(weights, first) if len(first) else weights
-        distinct = held[first]
-        low = np.uint64(64 - QUOTIENT_BITS)
-        return cls((distinct >> low).astype(np.uint32), (distinct & ((np.uint64(1) << low) - np.uint64(1))).astype(np.uint32), total)
-
-    def fingerprints(self) -> np.ndarray:
-        return (self.quotients.astype(np.uint64) << np.uint64(64 - QUOTIENT_BITS)) | self.remainders.astype(np.uint64)
-
-    @classmethod
-    def merged(cls, filters: list[QuotientFilter]) -> QuotientFilter:
-        """The filter of all inputs together: sorted remainders meet, counts add up, nothing is lost."""
-        return cls.build(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]))
-
-    def blocks(self, blocks: int):
-        """(block, filter) for each of equally wide ranges of quotients that is in use."""
-        block = (self.quotients.astype(np.uint64) * np.uint64(blocks)) >> np.uint64(QUOTIENT_BITS)
-        cuts = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[b], cuts[b + 1])
-            yield int(b), QuotientFilter(self.quotients[part], self.remainders[part], self.counts[part])
-
-    def pack(self) -> bytes:
-        return self.quotients.tobytes() + self.remainders.tobytes() + self.counts.astype("<i8").tobytes()
-
-    @classmethod
-    def unpack(cls, data: bytes) -> QuotientFilter:
-        n = len(data) // 16
-        return cls(np.frombuffer(data, "<u4", n), np.frombuffer(data, "<u4", n, 4 * n), np.frombuffer(data, "<i8", n, 8 * n))
+def fingerprint(norm: str) -> Column:
+    return F.xxhash64(norm)
 
 
 def repeated_fingerprints(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
     """(fingerprint, copies) of the fingerprints counted more than once in the merged filters."""
     prepare(prints.sparkSession)
-    blocks = max(8, -(-prints.count() // BLOCK_ROWS))
+    block_bits = max(3, int(np.ceil(np.log2(max(1, prints.count()) / BLOCK_ROWS))))
+    bits = 64 - block_bits
 
     def build(batches):
         held, rows = [], 0
 
         def hand_on():
-            parts = list(QuotientFilter.build(np.concatenate(held)).blocks(blocks)) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([f.pack() for _, f in parts], pa.binary())], names=["block", "filter"])
+            found = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.uint64)
+            cuts = np.searchsorted(found >> np.uint64(bits), np.arange((1 << block_bits) + 1, dtype=np.uint64))
+            used = np.flatnonzero(np.diff(cuts))
+            low = (np.uint64(1) << np.uint64(bits)) - np.uint64(1)
+            filters = [CountingQuotientFilter.build(found[cuts[b] : cuts[b + 1]] & low, bits).pack() for b in used]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(filters, pa.binary())], names=["block", "filter"])
 
         for batch in batches:
             held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
@@ -91,51 +65,80 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fingerprint") -> Dat
         yield hand_on()
 
     def merge(key, table):
-        merged = QuotientFilter.merged([QuotientFilter.unpack(x) for x in table.column("filter").to_pylist()])
-        many = merged.counts > 1
-        return pa.table({"fingerprint": merged.fingerprints()[many].view(np.int64), "copies": merged.counts[many]})
+        merged = CountingQuotientFilter.merged([CountingQuotientFilter.unpack(x) for x in table.column("filter").to_pylist()], bits)
+        found, counts = merged.items()
+        whole = (np.uint64(key[0].as_py()) << np.uint64(bits)) | found[counts > 1]
+        return pa.table({"fingerprint": whole.view(np.int64), "copies": counts[counts > 1]})
 
     filters = prints.select(column).mapInArrow(build, "block int, filter binary")
     return filters.groupBy("block").applyInArrow(merge, "fingerprint long, copies long")
 
 
-def find_copies(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, row): one row for each row of docs. row: a column with stored row numbers."""
-    prepare(docs.sparkSession)
-    text = text_or_empty()
-    norm = F.regexp_replace(text, BLANKS, "")
-    facts = written(
-        docs.select(F.col("doc_id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.length(text).alias("points"), norm.alias("norm"))
-        .select("doc_id", "row", "points", F.xxhash64("norm").alias("fingerprint"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")),
-        "dedup-facts",
+def _groups(facts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(fingerprint, norm, stays, group_size): texts told apart by all their bytes, of rows whose fingerprint is repeated."""
+    few = repeated.count() * 16 <= BROADCAST_BYTES
+    doubtful = facts.join(F.broadcast(repeated) if few else repeated, "fingerprint", "left_semi")
+    best = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "row"))
+    return doubtful.groupBy("fingerprint", "norm").agg(best.alias("best"), F.count("*").alias("group_size")).select(
+        "fingerprint", "norm", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"
     )
+
+
+def find_copies(facts: DataFrame, *more: str) -> DataFrame:
+    """(row, doc_id, more, keep_id, group_size, kept) for each row of facts: a written table of row, doc_id, points, norm, fingerprint and more."""
+    rows = facts.count()
     repeated = written(repeated_fingerprints(facts).select("fingerprint"), "dedup-repeated")
-    doubtful = facts.join(repeated, "fingerprint", "left_semi")
-    best = F.struct(F.col("points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"), (-F.col("row")).alias("first"))
-    groups = doubtful.groupBy("text_sha256").agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
-    return facts.join(groups, "text_sha256", "left").select(
-        "doc_id",
-        F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(-F.col("best.low")).alias("keep_id"),
+    groups = written(_groups(facts, repeated), "dedup-groups")
+    texts = groups.groupBy("fingerprint").agg(F.count("*").alias("texts"), F.sum("group_size").alias("rows"), *(F.first(c).alias(c) for c in ("keep_id", "keep_row", "group_size")))
+    out = ["row", "doc_id", *more, "keep_id", "keep_row", "group_size"]
+    narrow = facts.select("row", "doc_id", *more, "fingerprint")
+    met = joined_groups(narrow, texts, ["fingerprint"], "rows", rows, "row")
+    by_print = met.filter("coalesce(texts, 1) = 1").select(*out)
+    # Different texts with one fingerprint: found again by their bytes, every text's group dealt over SALTS tasks.
+    collided = texts.filter("texts > 1").select("fingerprint")
+    salted = facts.join(collided, "fingerprint", "left_semi").select("row", "doc_id", *more, "fingerprint", "norm", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    dealt = groups.join(collided, "fingerprint", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_text = salted.join(dealt, ["fingerprint", "norm", "salt"]).select(*out)
+    met = by_print.unionByName(by_text) if collided.limit(1).count() else by_print
+    alone = F.col("keep_row").isNull()
+    return met.select(
+        "row", "doc_id", *more,
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(-F.col("best.first") == F.col("row"), F.lit(True)).alias("kept"),
-        "text_sha256",
-        "row",
+        (alone | (F.col("keep_row") == F.col("row"))).alias("kept"),
     )
 
 
+def _facts(docs: DataFrame, *more: Column) -> DataFrame:
+    """A written table of numbered rows with the normalised text and its fingerprint."""
+    text = text_or_empty()
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length(text).alias("points"), F.regexp_replace(text, BLANKS, "").alias("norm"))
+    return written(cut.select("*", fingerprint("norm").alias("fingerprint"), *more), "dedup-facts")
+
+
+def copies_of(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text_sha256, keep_id, group_size, kept): one row for each row of docs; the hash is of the normalised text."""
+    prepare(docs.sparkSession)
+    facts = _facts(docs, F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
+    return find_copies(facts, "text_sha256")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns as they are."""
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
-    kept = find_copies(numbered, row).filter("kept").select(F.col("row").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    prepare(docs.sparkSession)
+    row, norm, points, mark = (free_name(n, docs) for n in ("__row", "__norm", "__points", "__fingerprint"))
+    text = text_or_empty()
+    numbered = docs.withColumns({row: F.monotonically_increasing_id(), points: F.length(text), norm: F.regexp_replace(text, BLANKS, "")})
+    numbered = written(numbered.withColumn(mark, fingerprint(norm)), "dedup-rows")
+    facts = numbered.select(F.col(row).alias("row"), "doc_id", F.col(points).alias("points"), F.col(norm).alias("norm"), F.col(mark).alias("fingerprint"))
+    gone = written(find_copies(facts).filter("NOT kept").select(F.col("row").alias(row)), "dedup-gone")
+    few = gone.count() * 16 <= BROADCAST_BYTES
+    return numbered.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*docs.columns)
 
 
 def op8_quotient_filter_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return find_copies(docs).drop("row")
+    return copies_of(docs).drop("row")
 
 
 OP8_SQL = """
