@@ -1,16 +1,18 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Fitting takes a bounded sample of the labelled rows (the `sample` rows whose ids hash lowest), counts
-hashed words and shapes of words in each, weights them by inverse document frequency and finds the
-leading singular directions of that matrix. The labelled rows' unit vectors along these directions are
-broadcast: at most sample * DIMS numbers. Scoring projects every whole text the same way, takes the exact
-cosine products with all labelled vectors, block by block, and lets the nearest ones vote, each weighted by
-its similarity.
+A text is counted by hashed terms of three kinds: runs of three bytes, words (lower case), and pairs of neighbouring words. A
+pair is hashed by the difference of its words' codes, so pairs that relate alike, such as any word said twice running, are one
+term. Fitting takes a bounded sample of the labelled rows (the `sample` rows whose ids hash lowest), weights roots of counts by
+inverse document frequency, each kind to unit length, and finds the leading singular directions of that matrix. The labelled
+rows' unit vectors along these directions are broadcast: at most sample * DIMS numbers. Scoring projects every whole
+text the same way, takes the exact cosine products with all labelled vectors, block by block, and lets the nearest ones vote,
+each weighted by a power of its similarity.
 
 Defined results: a null, empty or blank text has no direction and gets the labelled rows' mean; so do
 all texts whose neighbours have no similarity above zero. Without any labelled row the score is 0.5. Repeated
 rows get equal scores; ties among neighbours are broken by their order in the sample; labels that are
-null are left out, of several for one document the lowest counts; an empty table gives no rows.
+null are left out, of several for one document the lowest counts; an empty table gives no rows; a very long text is counted
+whole, in pieces; where the table has a column of the score's name, the score's name is lengthened by underscores.
 """
 
 from __future__ import annotations
@@ -24,82 +26,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import prepare, text_or_empty
+from tidemark.llm.common import free_name, prepare, text_or_empty
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 4096
-WORD_SLOTS, DIMS, NEIGHBOURS = 2048, 48, 25
+#: Slots of the three kinds of terms, and how much each kind weighs.
+KINDS = {"bytes": (4096, 1.0), "words": (2048, 1.0), "pairs": (2048, 2.0)}
+SLOTS = sum(n for n, _ in KINDS.values())
+RUN = 3  # bytes of a run
+DIMS, NEIGHBOURS, POWER = 48, 15, 12
 THRESHOLD, FOLDS = 0.3, 5
-#: How much shapes of words weigh against words.
-SHAPE_WEIGHT = 3.0
-_MEMORY = 300_000  # words whose slot and shape are kept
-_SYMBOLS = frozenset(b"#*$%&@^~=+<>{}[]\\/_|")
-_SHAPES = 12
-
-
-def _shape(word: bytes) -> int:
-    """Bits that say what a word looks like."""
-    letters, tail = word.strip(b".,;:!?\"'()"), word[-1]
-    return (
-        (word.isalpha() and word.islower())
-        | (letters[:1].isupper() and letters[1:].islower()) << 1
-        | (len(letters) > 1 and letters.isupper()) << 2
-        | any(48 <= c <= 57 for c in word) << 3
-        | (tail in b".") << 4
-        | (tail in b",;:") << 5
-        | (tail in b"!?") << 6
-        | (tail in _SYMBOLS) << 7
-        | (not letters or all(c in _SYMBOLS for c in letters)) << 8
-        | (not word.isascii()) << 9
-        | (len(letters) > 14) << 10
-        | (len(letters) < 3) << 11
-    )
+#: Texts that are projected together, bytes that are counted together, and words whose codes are kept.
+BLOCK_TEXTS, PIECE_BYTES, _MEMORY = 250, 2 << 20, 300_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 class Counter:
-    """Counts hashed words and shapes of texts; remembers words."""
+    """Counts the hashed terms of texts; remembers words."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def _learn(self, words) -> None:
-        for w in words:
-            self.known[w] = (zlib.crc32(w.lower()) % WORD_SLOTS) | _shape(w) << 16
-
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x WORD_SLOTS counts, texts x shapes), the latter as shares of the text's words."""
-        words = np.zeros((len(texts), WORD_SLOTS), dtype=np.float32)
-        shapes = np.zeros((len(texts), _SHAPES + 5), dtype=np.float32)
-        split = [t.encode().split() for t in texts]
-        missing = set().union(*split).difference(self.known) if split else ()
-        self._learn(missing)
-        bits = np.arange(_SHAPES)[:, None]
-        for i, found in enumerate(split):
-            if not found:
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """texts x SLOTS."""
+        out = np.zeros((len(texts), SLOTS), dtype=np.float32)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            data = text.encode()
+            if data.isspace() or not data:
                 continue
-            codes = np.array(list(map(self.known.__getitem__, found)), dtype=np.int64)
-            n, slots = len(codes), codes & 0xFFFF
-            seen = np.bincount(slots, minlength=WORD_SLOTS)
-            words[i] = seen
-            shapes[i, :_SHAPES] = ((codes >> 16)[None, :] >> bits & 1).sum(axis=1) / n
-            shapes[i, _SHAPES] = float((codes[1:] == codes[:-1]).mean()) if n > 1 else 0.0  # a word twice running
-            shapes[i, _SHAPES + 1] = seen.max() / n
-            shapes[i, _SHAPES + 2] = np.count_nonzero(seen) / n
-            pairs = slots[1:] * WORD_SLOTS + slots[:-1]
-            shapes[i, _SHAPES + 3] = len(np.unique(pairs)) / max(1, n - 1)
-            shapes[i, _SHAPES + 4] = min(1.0, np.log1p(n) / 10)
+            for at in range(0, len(data), PIECE_BYTES):  # runs over a cut are counted with the piece before it
+                piece = data[at : at + PIECE_BYTES + RUN - 1]
+                if held and size + len(piece) > PIECE_BYTES:
+                    self._runs(held, out)
+                    held, size = [], 0
+                held.append((i, piece))
+                size += len(piece)
+            self._words(i, data, out)
+        if held:
+            self._runs(held, out)
         if len(self.known) > _MEMORY:
             self.known.clear()
-        return words, shapes
+        return out
+
+    def _runs(self, held: list[tuple[int, bytes]], out: np.ndarray) -> None:
+        slots = KINDS["bytes"][0]
+        data = np.frombuffer(b"".join(x for _, x in held), dtype=np.uint8).astype(np.uint64)
+        piece = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
+        with np.errstate(over="ignore"):
+            h = data
+            for i in range(1, RUN):
+                h = h[:-1] * np.uint64(257) + data[i : len(data)]
+            slot = (_mixed(h) % np.uint64(slots)).astype(np.int64)
+        whole = piece[: len(slot)] == piece[RUN - 1 :]  # within one piece
+        found = np.bincount(piece[: len(slot)][whole] * slots + slot[whole], minlength=len(held) * slots)
+        np.add.at(out[:, :slots], [i for i, _ in held], found.reshape(len(held), slots).astype(np.float32))
+
+    def _words(self, i: int, data: bytes, out: np.ndarray) -> None:
+        split = data.lower().split()
+        known = self.known
+        for w in set(split).difference(known):
+            known[w] = zlib.crc32(w)
+        codes = np.array(list(map(known.__getitem__, split)), dtype=np.int64)
+        (first, _), (words, _), (pairs, _) = KINDS.values()
+        out[i, first : first + words] = np.bincount(codes % words, minlength=words)
+        with np.errstate(over="ignore"):
+            apart = _mixed((codes[1:] - codes[:-1]).astype(np.uint64)) % np.uint64(pairs)
+        out[i, first + words :] = np.bincount(apart.astype(np.int64), minlength=pairs)
 
 
 @dataclass(frozen=True)
 class Model:
-    """idf of word slots, mean and spread of shapes, directions, and the labelled rows' unit vectors with labels."""
+    """idf of slots, directions, and the labelled rows' unit vectors with labels."""
 
     idf: np.ndarray
-    centre: np.ndarray
-    spread: np.ndarray
     directions: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -109,49 +114,57 @@ class Model:
     def base(self) -> float:
         return float(self.labels.mean()) if len(self.labels) else 0.5
 
-    def project(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    def project(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors along the directions; zero for texts without words."""
-        flat = _weighted(words, shapes, self.idf, self.centre, self.spread) @ self.directions
-        flat[words.sum(axis=1) == 0] = 0
+        flat = _weighted(counts, self.idf) @ self.directions
         size = np.linalg.norm(flat, axis=1, keepdims=True)
         return np.divide(flat, size, out=np.zeros_like(flat), where=size > 1e-9)
 
-    def score(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
-            return np.full(len(words), 0.5)
-        near = self.project(words, shapes) @ self.vectors.T
-        k = min(self.neighbours, len(self.labels))
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.tile(np.arange(k), (len(near), 1))
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** 4
-        total = weight.sum(axis=1)
-        votes = (weight * self.labels[top]).sum(axis=1)
-        return np.where(total > 1e-12, votes / np.maximum(total, 1e-12), self.base)
-
-
-def _weighted(words, shapes, idf, centre, spread) -> np.ndarray:
-    text = np.log1p(words) * idf
-    size = np.linalg.norm(text, axis=1, keepdims=True)
-    text = np.divide(text, size, out=np.zeros_like(text), where=size > 0)
-    return np.hstack([text, SHAPE_WEIGHT * (shapes - centre) / spread / np.sqrt(shapes.shape[1])]).astype(np.float32)
-
-
-def fit(words: np.ndarray, shapes: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
+            return np.full(len(counts), 0.5)
+        return vote(self.project(counts) @ self.vectors.T, self.labels, self.neighbours, self.base)
+
+
+def vote(near: np.ndarray, labels: np.ndarray, neighbours: int, base: float) -> np.ndarray:
+    """The mean label of the nearest, weighted by similarity; near: texts x labelled rows. Of equally near ones the first count."""
+    k = min(neighbours, len(labels))
+    if k < len(labels):
+        edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]  # the k-th similarity: what lies above is in, ties in order
+        above, tied = near > edge, near == edge
+        chosen = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    else:
+        chosen = np.ones(near.shape, dtype=bool)
+    row, column = np.nonzero(chosen)
+    weight = np.maximum(near[row, column], 0).astype(np.float64) ** POWER
+    total = np.bincount(row, weight, minlength=len(near))
+    votes = np.bincount(row, weight * labels[column], minlength=len(near))
+    return np.where(total > 1e-12, np.minimum(votes / np.maximum(total, 1e-12), 1.0), base)
+
+
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    out, at = np.sqrt(counts) * idf, 0
+    for slots, weight in KINDS.values():
+        part = out[:, at : at + slots]
+        size = np.linalg.norm(part, axis=1, keepdims=True)
+        np.divide(part, size / np.float32(weight), out=part, where=size > 0)
+        at += slots
+    return out
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     """Latent-semantic directions by subspace iteration from a fixed start, and the rows' vectors along them."""
-    n = max(1, len(words))
-    idf = np.log((1 + n) / (1 + np.count_nonzero(words, axis=0))).astype(np.float32)
-    centre = shapes.mean(axis=0) if len(shapes) else np.zeros(shapes.shape[1], np.float32)
-    spread = np.maximum(shapes.std(axis=0), 0.02) if len(shapes) else np.ones(shapes.shape[1], np.float32)
-    matrix = _weighted(words, shapes, idf, centre, spread)
-    width = matrix.shape[1]
-    basis = np.random.default_rng(0).standard_normal((width, min(width, dims + 16))).astype(np.float32)
+    n = max(1, len(counts))
+    idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32)
+    matrix = _weighted(counts, idf)
+    basis = np.random.default_rng(0).standard_normal((SLOTS, dims + 16)).astype(np.float32)
     for _ in range(6):
-        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0] if len(words) else np.linalg.qr(basis)[0]
-    if len(words):
-        small = matrix @ basis
-        turn = np.linalg.svd(small, full_matrices=False)[2]
-        basis = basis @ turn.T
-    model = Model(idf, centre, spread, basis[:, :dims].astype(np.float32), np.zeros((0, dims), np.float32), np.zeros(0))
-    return Model(idf, centre, spread, model.directions, model.project(words, shapes) if len(words) else model.vectors, labels.astype(np.float64))
+        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0] if len(counts) else np.linalg.qr(basis)[0]
+    if len(counts):
+        basis = basis @ np.linalg.svd(matrix @ basis, full_matrices=False)[2].T
+    directions = np.ascontiguousarray(basis[:, :dims], dtype=np.float32)
+    model = Model(idf, directions, np.zeros((0, directions.shape[1]), np.float32), np.zeros(0))
+    return Model(idf, directions, model.project(counts), labels.astype(np.float64))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality") -> Model:
@@ -164,28 +177,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_
     def count(batches):
         counter = Counter()
         for batch in batches:
-            for part in range(0, batch.num_rows, 100):
-                piece = batch.slice(part, 100)
-                words, shapes = counter.counts(piece.column(2).to_pylist())
-                slots = [np.flatnonzero(w).astype(np.int32) for w in words]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array([s.tolist() for s in slots], pa.list_(pa.int32())), pa.array([w[s].tolist() for w, s in zip(words, slots, strict=True)], pa.list_(pa.float32())), pa.array(shapes.tolist(), pa.list_(pa.float32()))],
-                    names=["doc_id", "label", "slots", "counts", "shapes"],
-                )
+            for part in range(0, batch.num_rows, BLOCK_TEXTS):
+                piece = batch.slice(part, BLOCK_TEXTS)
+                counts = counter.counts(piece.column(2).to_pylist())
+                used = [np.flatnonzero(c) for c in counts]
+                slots = [u.astype("<u2").tobytes() for u in used]
+                values = [c[u].astype("<f4").tobytes() for c, u in zip(counts, used, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "label", "slots", "counts"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"doc_id {id_type}, label int, slots array<int>, counts array<float>, shapes array<float>")
-    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("slots")).limit(sample).toArrow()  # repeated documents count within the bound
-    words = np.zeros((got.num_rows, WORD_SLOTS), dtype=np.float32)
-    for i, (slots, counts) in enumerate(zip(got.column("slots").to_pylist(), got.column("counts").to_pylist(), strict=True)):
-        words[i, slots] = counts
-    shapes = np.array(got.column("shapes").to_pylist(), dtype=np.float32).reshape(got.num_rows, _SHAPES + 5)
-    return fit(words, shapes, got.column("label").to_numpy().astype(np.float64))
+    counted = rows.mapInArrow(count, f"doc_id {id_type}, label int, slots binary, counts binary")
+    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("slots", "counts")).limit(sample).toArrow()  # repeated documents count within the bound
+    counts = np.zeros((got.num_rows, SLOTS), dtype=np.float32)
+    for row, slots, values in zip(counts, got.column("slots").to_pylist(), got.column("counts").to_pylist(), strict=True):
+        row[np.frombuffer(slots, "<u2")] = np.frombuffer(values, "<f4")
+    return fit(counts, got.column("label").to_numpy().astype(np.float64))
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with one more column: each text's score, from 0 to 1."""
+    """docs with one more column, the last: each text's score, from 0 to 1."""
     prepare(docs.sparkSession)
+    column = free_name(column, docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
@@ -194,7 +206,7 @@ def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFram
         counter, model = Counter(), shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
-            parts = [model.score(*counter.counts(texts[i : i + 250])) for i in range(0, len(texts), 250)]
+            parts = [model.score(counter.counts(texts[i : i + BLOCK_TEXTS])) for i in range(0, len(texts), BLOCK_TEXTS)]
             found = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, column])
 
