@@ -6,18 +6,21 @@ block of text in one task:
 1. Each window is owned by the k-gram of smallest hash inside it (the leftmost one), its anchor. Equal windows
    have equal anchors at the same offset, so only occurrences of anchors with the same k-gram need to
    meet. Occurrences are counted by k-gram with map-side sums; k-grams seen once end here.
-2. The text that an anchor's windows cover is its snippet. Where all snippets of a k-gram are the same, all
-   their windows are repeated. Otherwise the distinct snippets go on, in blocks that several k-grams share; a
-   k-gram with very many of them is dealt over several blocks.
+2. The text that an anchor's windows cover is its snippet. Occurrences of one k-gram are put together by a 64-bit hash of
+   their snippets, and the text of each kind goes on: of those that occur more than once, from two places, so that the copies
+   are compared too. Several k-grams share a block of text; a k-gram with very many kinds is dealt over several blocks.
 3. In a block the snippets, cut into symbols of STEP bytes counted from their anchors, are sorted by the
    suffix array (linear grouping construction); neighbours with enough symbols in common form classes,
-   and the up to STEP bytes at the window's either side are then compared exactly. Windows of k-grams
-   that were dealt over several blocks and found no partner in their own are settled by a count of their 128-bit hashes.
+   and the up to STEP bytes at the window's either side are then compared exactly.
+4. Windows of k-grams that were dealt over several blocks and found no partner in their own look for one by a 128-bit
+   hash; those with the same hash meet in blocks of their own and go through step 3 again. So every repeated window was found by
+   a suffix array over bytes; the hash of step 2 only hands the finding on to the third and further copies of a snippet.
 
 Matches never cross documents, and strings are judged on the input. Defined results: null and empty texts have
 no bytes and lose none; repeated rows (same doc_id, same text) are documents of their own, so each
-loses what the other has; an empty table gives no rows; of a very long text every window counts. Rows
-are numbered once, in a table written to the shared folder; every later scan reads the stored numbers.
+loses what the other has; an empty table gives no rows; of a very long text every window counts; doc_ids may be null and
+of any type; other columns are left out. Rows are numbered once, in a table written to the shared folder; every later scan reads
+the stored numbers.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, text_or_empty, tidied, written
+from tidemark.llm.common import joined_groups, prepare, text_or_empty, tidied, written
 from tidemark.llm.suffix import suffix_array
 
 LENGTH = 200
@@ -127,7 +130,7 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_windows(snippets: list[bytes], leads: np.ndarray, length: int) -> np.ndarray:
-    """For each snippet and window start within it: whether another of the (distinct) snippets has the same window."""
+    """For each snippet and window start within it: whether another of the snippets has the same window."""
     if length < 2 * STEP:
         raise ValueError(f"length must be at least {2 * STEP}")
     sizes = np.array([len(s) for s in snippets], dtype=np.int64)
@@ -193,32 +196,43 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return line, first, np.nonzero(change == -1)[1] - 1
 
 
+_KEPT = {"gram": "long", "snippet": "long", "lead": "short", "n": "long", "deals": "long", "second": "boolean", "base": "int"}
+
+
 def _compare(snippets: DataFrame, length: int) -> DataFrame:
-    """Windows of distinct snippets that repeat: (gram, snippet, first, last); where a k-gram is dealt over several blocks
-    also its windows without partner in the block, and one of each kind with partners, with a hash."""
-    kinds = pa.schema([("gram", pa.int64()), ("snippet", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("hash", pa.binary())])
+    """Windows of snippets that repeat within a block: (gram, snippet, n, first, last); where a k-gram is dealt over several blocks
+    also, with hashes, its windows without partner in the block (alone) and one of each kind with partners."""
+    names = ["gram", "snippet", "n", "first", "last", "hash", "alone"]
+    kinds = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)))
 
     def compare(table: pa.Table) -> pa.Table:
-        gram, snippet = (table.column(c).to_numpy() for c in ("gram", "snippet"))
+        gram, snippet, n, base, second = (table.column(c).to_numpy() for c in ("gram", "snippet", "n", "base", "second"))
         texts, split = table.column("text").to_pylist(), table.column("deals").to_numpy() > 1
         repeated = repeated_windows(texts, table.column("lead").to_numpy().astype(np.int64), length)
+        repeated[second] = False  # its first copy says the same
+        parts = []
+
+        def add(line, first, last, hashes, alone):
+            columns = [gram[line], snippet[line], n[line], (base[line] + first).astype(np.int32), (base[line] + last).astype(np.int32), hashes, alone]
+            parts.append(pa.table(columns, schema=kinds))
+
         line, first, last = _runs(repeated)
-        parts = [pa.table([gram[line], snippet[line], first.astype(np.int32), last.astype(np.int32), pa.nulls(len(line), pa.binary())], schema=kinds)]
+        add(line, first, last, pa.nulls(len(line), pa.binary()), np.zeros(len(line), dtype=bool))
         seen: set[bytes] = set()  # of windows with a partner here one speaks for all
-        for i in np.flatnonzero(split):
+        for i in np.flatnonzero(split & ~second):
             hashes = [xxhash.xxh3_128_digest(texts[i][s : s + length]) for s in range(len(texts[i]) - length + 1)]
-            place = np.array([s for s, h in enumerate(hashes) if not repeated[i, s] or h not in seen], dtype=np.int32)
+            place = np.array([s for s, h in enumerate(hashes) if not repeated[i, s] or h not in seen], dtype=np.int64)
             seen.update(h for s, h in enumerate(hashes) if repeated[i, s])
-            parts.append(pa.table([np.full(len(place), gram[i]), np.full(len(place), snippet[i]), place, place, pa.array([hashes[s] for s in place], pa.binary())], schema=kinds))
+            add(np.full(len(place), i), place, place, pa.array([hashes[s] for s in place], pa.binary()), ~repeated[i, place])
         return pa.concat_tables(parts)
 
-    return snippets.groupBy("block").applyInArrow(compare, "gram long, snippet long, first int, last int, hash binary")
+    return snippets.groupBy("block").applyInArrow(compare, "gram long, snippet long, n long, first int, last int, hash binary, alone boolean")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The text of each wanted snippet (row, gram, snippet, first, span, lead, deals, block)."""
-    kept = ["gram", "snippet", "lead", "deals", "block"]
-    schema = "gram long, snippet long, lead short, deals long, block long, text binary"
+    """The text of each wanted snippet (row, first, span, block and what _KEPT names)."""
+    kept = [*_KEPT, "block"]
+    schema = ", ".join(f"{k} {v}" for k, v in _KEPT.items()) + ", block long, text binary"
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "span", *kept)).alias("wanted"))
 
     def cut(batches):
@@ -237,32 +251,41 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, "row").select("bytes", "wanted").mapInArrow(cut, schema)
 
 
+def _blocks(size: int) -> int:
+    return max(8, -(-size // BLOCK_BYTES))
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, first, last): windows of the row, first to last, that also start elsewhere. docs: row, bytes."""
     found = find_anchors(docs, length)
-    grams = (
-        found.groupBy("gram").agg(F.count("*").alias("n"), F.min("snippet").alias("least"), F.max("snippet").alias("most"))
-        .filter("n > 1").select("gram", (F.col("least") != F.col("most")).alias("differ"))
-    )
-    known = tidied(found.join(grams, "gram"), "repeats-anchors")
-    ranges = known.filter("NOT differ").select("row", "first", (F.col("first") + F.col("span")).alias("last"))
-    differing = known.filter("differ").drop("differ")
-    distinct = tidied(
-        differing.groupBy("gram", "snippet").agg(F.count("*").alias("n"), F.min_by(F.struct("row", "first", "span", "lead"), F.struct("row", "first")).alias("one"))
-        .select("gram", "snippet", "n", "one.*"),
-        "repeats-snippets",
-    )
-    size = distinct.agg(F.coalesce(F.sum(F.col("span") + length + 2 * STEP), F.lit(0))).first()[0]
-    blocks = max(8, -(-size // BLOCK_BYTES))
-    deals = distinct.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK_SNIPPETS).cast("long").alias("deals"))
-    wanted = distinct.join(deals, "gram").withColumn("block", F.pmod(F.xxhash64("gram", F.pmod("snippet", "deals")), F.lit(blocks)))
+    grams = tidied(found.groupBy("gram").agg(F.count("*").alias("occurs")).filter("occurs > 1"), "repeats-grams")
+    total = grams.agg(F.coalesce(F.sum("occurs"), F.lit(0))).first()[0]
+    known = tidied(joined_groups(found, grams, ["gram"], "occurs", total, "first").filter("occurs IS NOT NULL").drop("occurs"), "repeats-anchors")
+    place = F.struct("row", "first", "span", "lead")
+    distinct = tidied(known.groupBy("gram", "snippet").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")), "repeats-snippets")
+    held = F.when(F.col("n") > 1, F.col("one.span") + length + 2 * STEP).otherwise(0) + F.col("one.span") + length + 2 * STEP
+    snippets, size = distinct.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    deals = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.ceil(F.count("*") / BLOCK_SNIPPETS).cast("long").alias("deals"))
+    dealt = joined_groups(distinct, deals, ["gram"], "kinds", snippets, "snippet")
+    block = F.pmod(F.xxhash64("gram", F.pmod("snippet", "deals")), F.lit(_blocks(size)))
+    copies = F.when(F.col("n") > 1, F.array(F.struct("one.*", F.lit(False).alias("second")), F.struct("other.*", F.lit(True).alias("second")))).otherwise(F.array(F.struct("one.*", F.lit(False).alias("second"))))
+    wanted = dealt.select("gram", "snippet", "n", "deals", block.alias("block"), F.lit(0).alias("base"), F.inline(copies))
     partial = tidied(_compare(_cut(docs, wanted, length), length), "repeats-windows")
-    alone = partial.filter("hash IS NOT NULL")
-    across = alone.join(alone.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "hash").select("gram", "snippet", "first", "last")
-    own = distinct.filter("n > 1").select("gram", "snippet", F.lit(0).alias("first"), F.col("span").cast("int").alias("last"))
-    windows = partial.filter("hash IS NULL").select("gram", "snippet", "first", "last").unionByName(across).unionByName(own)
-    placed = differing.withColumnRenamed("first", "base").join(windows, ["gram", "snippet"])
-    return ranges.unionByName(placed.select("row", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last")))
+    windows = partial.filter("hash IS NULL")
+    hashed = partial.filter("hash IS NOT NULL").select("gram", "snippet", "hash", "alone", F.col("first").alias("base"))
+    if hashed.filter("alone").limit(1).count():
+        # Windows alone in their block: those with the same hash from elsewhere are compared by bytes as well.
+        met = hashed.groupBy("hash").agg(F.count("*").alias("m"), F.max("alone").alias("any")).filter("m > 1 AND any").select("hash")
+        again = hashed.join(met, "hash", "left_semi").join(distinct.select("gram", "snippet", "n", "one"), ["gram", "snippet"])
+        size = again.count() * (length + 2 * STEP)
+        again = again.select(
+            "gram", "snippet", "n", F.lit(1).cast("long").alias("deals"), F.pmod(F.xxhash64("hash"), F.lit(_blocks(size))).alias("block"), "base", F.lit(False).alias("second"),
+            F.col("one.row").alias("row"), (F.col("one.first") + F.col("base")).alias("first"), F.lit(0).cast("short").alias("span"), (F.col("one.lead") - F.col("base")).cast("short").alias("lead"),
+        )
+        windows = windows.unionByName(tidied(_compare(_cut(docs, again, length), length), "repeats-across"))
+    lists = windows.groupBy("gram", "snippet").agg(F.first("n").alias("n"), F.collect_set(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("windows"))
+    placed = joined_groups(known.select("gram", "snippet", "row", "first"), lists, ["gram", "snippet"], "n", total, "row")
+    return placed.select("row", F.col("first").alias("base"), F.inline("windows")).select("row", (F.col("base") + F.col("a")).alias("first"), (F.col("base") + F.col("b")).alias("last"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
