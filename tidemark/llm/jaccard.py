@@ -9,7 +9,9 @@ Two documents link when num / den or more of their joint distinct word shingles
    parts (empty ones only if there are more than e of them). In bands of small sets, where parts would be empty, it sends
    its prefix, the lowest-hashed shingles of which linked sets must share one. Sets that agree in a hash are searched by
    their hashed bitmaps, of about a bit for each shingle: the number of common bits bounds the overlap from above, so
-   documents that merely share a passage part here. What may link is connected, and only documents so connected are read again.
+   documents that merely share a passage part here. Sets that agree in a hash form a party, named by its least key; parties of one
+   name are searched together. A party of more than MOST_MEMBERS is connected as it is, its bitmaps aren't read; the exact
+   search decides later. What may link is connected, and only documents so connected are read again.
 3. The connected sets form tiles of bounded bytes; large ones are cut by size band and hash. In a tile, sets are searched breadth
    first: each set that was reached is held against all that weren't. The number of common bits of two bitmaps bounds the
    overlap from above; who passes is intersected exactly. So a group of copies costs one
@@ -19,7 +21,9 @@ Two documents link when num / den or more of their joint distinct word shingles
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; texts of fewer than k words
 are one shingle; repeated rows link; a null doc_id links as one unknown document does, and has no class; rows
-that share a doc_id count as one document; an empty table gives no rows.
+that share a doc_id count as one document; an empty table gives no rows; very long texts count whole; doc_ids of types other than
+whole numbers are ranked, so that the smallest of a group is the smallest in their own order; keep_one keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,18 +33,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import prepare, text_or_empty, tidied, written
+from tidemark.llm.common import BROADCAST_BYTES, free_name, joined_groups, prepare, text_or_empty, tidied, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import Shingler, mix
 
 K, NUM, DEN = 4, 85, 100
 #: Growth of size bands, and the set size below which prefixes serve instead of parts.
 GROWTH, SMALL = 1.25, 40
-#: Text in a block of part hashes, and bytes of shingles in a tile.
-BLOCK_TEXT, TILE_BYTES = 16 << 20, 8 << 20
-#: Bits of the widest bitmap; members of one part hash above which they are connected unseen.
-MOST_BITS, MOST_MEMBERS = 1 << 16, 50_000
+#: Shingles in a block of part hashes, and bytes of shingles in a tile.
+BLOCK_SHINGLES, TILE_BYTES = 2_500_000, 8 << 20
+#: Bits of the widest bitmap; members of a party above which they are connected unseen.
+MOST_BITS, MOST_MEMBERS = 1 << 16, 4096
 #: Part hashes that a task gathers before it hands them on.
 HELD = 2_000_000
 
@@ -116,7 +121,7 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, key, key2, bits): size, 128-bit hash and bitmap of each document's set."""
+    """(doc_id, n, key, key2, bits, shingles): size, 128-bit hash and bitmap of each document's set, and the set: hashes, ascending."""
 
     def work(batches):
         shingler = Shingler(k)
@@ -124,18 +129,18 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             found = shingler.sets(batch.column(1).to_pylist())
             keys = [_keys(s) for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array(list(map(bitmap, found)), pa.binary())],
-                names=["doc_id", "n", "key", "key2", "bits"],
+                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), *(pa.array([f(s) for s in found], pa.binary()) for f in (bitmap, np.ndarray.tobytes))],
+                names=["doc_id", "n", "key", "key2", "bits", "shingles"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n long, key long, key2 long, bits binary")
+    return docs.mapInArrow(work, "doc_id long, n long, key long, key2 long, bits binary, shingles binary")
 
 
-def _candidates(docs: DataFrame, k: int, num: int, den: int, blocks: int) -> DataFrame:
-    """(party, key): parties of sets that have a part hash in common; of parties with the same members one is kept."""
+def _candidates(sets: DataFrame, num: int, den: int, blocks: int) -> DataFrame:
+    """(party, key): sets that have a part hash in common, by the least key among them."""
 
     def sign(batches):
-        shingler, signer = Shingler(k), Signer(num, den)
+        signer = Signer(num, den)
         hashes, keys, seen, held = [], [], set(), 0
 
         def hand_on():
@@ -148,10 +153,10 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int, blocks: int) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
 
         for batch in batches:
-            for shingles in shingler.sets(batch.column(1).to_pylist()):
-                if len(shingles) and (key := _keys(shingles)[0]) not in seen:  # a copy says nothing new
+            for key, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in seen:  # a copy says nothing new
                     seen.add(key)
-                    hashes.append(signer.sign(shingles))
+                    hashes.append(signer.sign(np.frombuffer(shingles, dtype="<u8")))
                     keys.append(np.full(len(hashes[-1]), key, dtype=np.int64))
                     held += len(hashes[-1])
             if held > HELD:
@@ -170,35 +175,32 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int, blocks: int) -> Dat
         h, key = h[new], key[new]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.concatenate([first, [len(h)]]))
-        with np.errstate(over="ignore"):
-            party = np.add.reduceat(mix(key.view(np.uint64)), first)
-        shared = np.flatnonzero(sizes > 1)
-        _, once = np.unique(party[shared], return_index=True)
-        chosen = shared[once]
-        inside = np.repeat(first[chosen], sizes[chosen]) + np.arange(sizes[chosen].sum()) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
-        return pa.table({"party": np.repeat(party[chosen], sizes[chosen]).view(np.int64), "key": key[inside]})
+        least = np.repeat(key[first], sizes)  # keys ascend within a hash
+        shared = np.repeat(sizes > 1, sizes)
+        pairs = np.unique(np.stack([least[shared], key[shared]], axis=1), axis=0)
+        return pa.table({"party": pairs[:, 0], "key": pairs[:, 1]})
 
-    return docs.mapInArrow(sign, "block long, data binary").groupBy("block").applyInArrow(meet, "party long, key long").distinct()
+    return sets.filter("n > 0").select("key", "shingles").mapInArrow(sign, "block long, data binary").groupBy("block").applyInArrow(meet, "party long, key long").distinct()
 
 
 def _may_link(parties: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) of keys that connect, within each party, all sets whose bitmaps allow a link."""
     bits = sets.filter("n > 0").groupBy("key").agg(F.max_by(F.struct("n", "bits"), "n").alias("s")).select("key", "s.*")
-    members = parties.join(bits.hint("merge"), "key")
+    counts = tidied(parties.groupBy("party").agg(F.count("*").alias("members")), "party-sizes")
+    known = joined_groups(parties, counts, ["party"], "members", parties.count(), "key")
+    large = F.col("members") > MOST_MEMBERS
+    unseen = known.filter(large & (F.col("party") != F.col("key"))).select(F.col("party").alias("a"), F.col("key").alias("b"))
+    members = known.filter(~large).select("party", "key").join(bits.hint("merge"), "key")
 
     def search(table: pa.Table) -> pa.Table:
-        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        if len(key) > MOST_MEMBERS:
-            found = [(0, j) for j in range(1, len(key))]  # connected unseen: the exact search comes later
-        else:
-            data = table.column("bits").to_pylist()
-            words = min(map(len, data)) // 8
-            rows = [np.bitwise_or.reduce(np.frombuffer(d, dtype="<u8").reshape(-1, words)) for d in data]
-            found = reached(np.stack(rows), n, num, den)
+        key, n, data = table.column("key").to_numpy(), table.column("n").to_numpy(), table.column("bits").to_pylist()
+        words = min(map(len, data)) // 8
+        found = reached(np.stack([np.bitwise_or.reduce(np.frombuffer(d, dtype="<u8").reshape(-1, words)) for d in data]), n, num, den)
         a, b = (np.array([f[i] for f in found], dtype=np.int64) for i in (0, 1))
         return pa.table({"a": key[a], "b": key[b]})
 
-    return members.groupBy("party").applyInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    seen = members.groupBy("party").applyInArrow(search, "a long, b long")
+    return seen.unionByName(unseen).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _needed(mine, theirs, num: int, den: int):
@@ -331,37 +333,46 @@ def _links(sets: DataFrame, tiled: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n): one row for each row of docs; component_id: the smallest doc_id that links reach."""
+    """(doc_id, n_shingles, component_id): one row for each row of docs; component_id: the smallest doc_id that links reach."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _ranked_groups(docs, k, num, den)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sets = tidied(_sets(docs, k), "shingle-sets")
-    classes = sets.filter("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parties = tidied(_candidates(docs, k, num, den, max(8, -(-total // BLOCK_TEXT))), "shingle-parties")
+    classes = sets.filter("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = tidied(classes, "shingle-classes")
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parties = tidied(_candidates(sets, num, den, max(8, -(-total // BLOCK_SHINGLES))), "shingle-parties")
     edges = tidied(_may_link(parties, sets, num, den), "shingle-edges")
     groups = components(edges).select(F.col("node").alias("key"), F.col("component").alias("group"))
     doubtful = tidied(_tiled(classes.join(groups, "key").filter("rep IS NOT NULL").select("rep", "group", "n").distinct()), "shingle-groups")
 
-    places = ["group", "band", "tile", "large", "rep"]
-
-    def again(batches):
-        shingler = Shingler(k)
-        for batch in batches:
-            found = shingler.sets(batch.column(len(places)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(places)], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=[*places, "n", "shingles"])
-
-    # Texts meet their places by a sort-merge join whatever the sizes, so the plan is the same at every scale.
-    texts = docs.join(doubtful.select(*places).distinct().hint("merge"), docs["doc_id"] == F.col("rep")).select(*places, "text")
-    arrays = tidied(texts.mapInArrow(again, "group long, band int, tile int, large boolean, rep long, n long, shingles binary").filter("n > 0"), "shingle-arrays")
+    places = doubtful.select("group", "band", "tile", "large", "rep").distinct()
+    few = places.count() * 64 <= BROADCAST_BYTES
+    filled = sets.filter("n > 0").select("doc_id", "n", "shingles")
+    arrays = filled.join(F.broadcast(places) if few else places, F.col("doc_id") == F.col("rep")).select("group", "band", "tile", "large", "rep", "n", "shingles")
+    arrays = tidied(arrays, "shingle-arrays")
     same = sets.filter("n > 0").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("doc_id")
     links = _links(arrays, doubtful, num, den)
-    repeated = classes.join(sets.filter("n > 0").join(same, "doc_id", "left_semi").select("key", "key2", "n", "doc_id"), ["key", "key2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    again = sets.filter("n > 0").join(same, "doc_id", "left_semi").select("key", "key2", "n", "doc_id")
+    repeated = classes.join(again, ["key", "key2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = components(links.unionByName(repeated))
-    return (
-        sets.join(classes, ["key", "key2", "n"], "left")
-        .join(found, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    )
+    reach = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", "key2", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
+    filled = sets.filter("n > 0").select("doc_id", "key", "key2", "n")
+    met = joined_groups(filled, reach, ["key", "key2", "n"], "copies", filled.count(), "doc_id")
+    out = met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _ranked_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """near_groups for ids that are no whole numbers: they are ranked, and the ranks are linked."""
+    ranks = written(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy("doc_id").select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("rank")), "near-ranks")
+    ranked = docs.join(ranks, F.col("doc_id") == F.col("id"), "left").select(F.col("rank").alias("doc_id"), "text")
+    found = near_groups(ranked, k, num, den)
+    for column in ("doc_id", "component_id"):
+        found = found.withColumnRenamed(column, "rank_of").join(ranks.select(F.col("rank").alias("rank_of"), F.col("id").alias(column)), "rank_of", "left").drop("rank_of")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -371,14 +382,18 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     group the row with the smallest doc_id stays (null ids last), of equal ids the first row.
     """
     prepare(docs.sparkSession)
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
+    row = free_name("__row", docs)
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
-    found = near_groups(numbered.select(F.col(row).alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias(row), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("first"))
-    kept = tidied(numbered.select(row, F.col("doc_id").cast("long").alias("doc_id")).join(found, row).groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.first").alias(row)), "near-kept")
-    return numbered.join(kept, row, "left_semi").drop(row)
+    found = written(near_groups(numbered.select(F.col(row).alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias("row"), "component_id"), "near-found")
+    # Rows that link with nothing are their own component: only the others are decided.
+    shared = found.filter("row <> component_id").select("component_id").distinct()
+    linked_rows = tidied(found.filter("row <> component_id").unionByName(shared.select(F.col("component_id").alias("row"), "component_id")), "near-linked")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    kept = linked_rows.join(ids, "row").groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))
+    gone = written(linked_rows.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)), "near-gone")
+    few = gone.count() * 16 <= BROADCAST_BYTES
+    return numbered.join(F.broadcast(gone) if few else gone, row, "left_anti").drop(row)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
