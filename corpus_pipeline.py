@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact_dedup, jaccard, packing, quality, tokens
-from tidemark.llm.common import table, written
+from tidemark.llm.common import free_name, table, written
 
 #: Near copies share 80 of 100 or more of their joint shingles of five words.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
@@ -18,9 +18,7 @@ NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score says label 1: at least quality.THRESHOLD. The model is fitted on all folds' labels."""
-    column = "__score"
-    while column in docs.columns:
-        column += "_"
+    column = free_name("__score", docs)
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.with_score(docs, model, column).filter(F.col(column) >= quality.THRESHOLD).drop(column)
 
