@@ -145,10 +145,20 @@ def test_tiling_catches_reordered_passages_and_leaves_clean_ones(spark):
     blocks = {r.doc_id: r.hits for r in decontaminate.with_hits(documents(spark, rows), bench, limit=200).collect()}
     assert blocks == got
     assert decontaminate.clean(documents(spark, rows), bench.limit(0)).count() == 6
+    hit = decontaminate.with_hits(documents(spark, rows).withColumn("hits", F.lit("mine")), bench).orderBy("doc_id").first()
+    assert hit.hits == "mine" and [h.item_id for h in hit.hits_] == [7]
     clash = documents(spark, rows).withColumn("__hits", F.lit(1))
     assert decontaminate.clean(clash, bench).columns == clash.columns
 
 
+def test_short_items_are_matched_whole(spark):
+    bench = spark.createDataFrame([(1, "What is two, two?"), (2, "Yes"), (3, "?!"), (4, "what is two two"), (5, "and so on and on it goes")], "item_id long, text string")
+    rows = [(0, "what is two two"), (1, "so: WHAT is (two) two and more"), (2, "what is two and two"), (3, "yes"), (4, "oh yes indeed"), (5, ""), (6, None), (7, "?!"), (8, "yes"), (9, "and so on and on it goes yes what is two two")]
+    got = {r.doc_id: [(h.item_id, h.coverage, h.tiles, h.words) for h in r.hits] for r in decontaminate.with_hits(documents(spark, rows), bench).collect()}
+    four = [(1, 1.0, 1, 4), (4, 1.0, 1, 4)]
+    assert got == {0: four, 1: four, 2: [], 3: [(2, 1.0, 1, 1)], 4: [], 5: [], 6: [], 7: [], 8: [(2, 1.0, 1, 1)], 9: [*four, (5, 1.0, 1, 7)]}
+
+
 def test_tiles_against_exhaustive_greedy():
     def greedy(item, text, least):
         fi, ft, covered = [1] * len(item), [1] * len(text), 0
@@ -208,8 +218,22 @@ def test_typed_parts(spark):
     assert (role, parts) == ("assistant", ["see <|im_end|>", ("image", 0), ("audio", 1), ("document", 2), "ok"])
     (back,) = chat.read_back(chat.format_conversations(turns)).collect()
     assert back.loss_sha256 == hashlib.sha256(b"see <|im_end|>ok").hexdigest() and back.attachment_tokens == 2454
-    with pytest.raises(ValueError):
-        chat.parts_of('[{"type":"video"}]', None)
+
+
+@pytest.mark.parametrize(
+    ("content", "said", "tokens"),
+    [
+        (None, "plain", 0), ("", "plain", 0), ("null", "plain", 0), ("just words", "just words", 0), ("3", "3", 0), ("[", "[", 0), ("[]", "", 0), ('["a", "b"]', "ab", 0), ("[null, 1]", "null1", 0),
+        ('{"type":"text","text":"one"}', "one", 0), ('[{"type":"video"}]', '{"type": "video"}', 0), ('[{"type":"text","text":5}]', '{"type": "text", "text": 5}', 0), ('[{"text":"bare"}]', "bare", 0),
+        ('[{"type":"image","ref":7,"width":"wide","height":-3}]', "", 0), ('[{"type":"image","width":"wide"}]', "", 1), ('[{"type":"audio","seconds":"1.5"}]', "", 38), ('[{"type":"document","pages":1e400}]', "", 800),
+        ('["\\ud800x"]', "?x", 0), ("[" * 100_000, "[" * 100_000, 0),
+    ],
+)
+def test_content_that_is_out_of_the_ordinary(content, said, tokens):
+    segment, mask, attached = chat.format_turn("assistant", chat.parts_of(content, "plain"))
+    _, parts = chat.parse_turn(segment)
+    assert "".join(p for p in parts if isinstance(p, str)) == said == "".join(chat.unescape(segment[a : a + n]) for a, n in mask)
+    assert sum(a["tokens"] for a in attached) == tokens
 
 
 # ---- tokens, packing (4), ORC (7)

@@ -11,7 +11,13 @@ conversation, so no conversation is ever held as a whole.
 
 Defined results: a null text is empty; a null role is empty; turns with the same number are ordered
 by role, then text; repeated rows are turns of their own; an empty table gives no rows; a null conv_id
-is a conversation of its own. An assistant's text is under the loss mask; attachments and markup aren't.
+is a conversation of its own; ids keep their types; very long texts are turns like any other; other columns are left out.
+An assistant's text is under the loss mask; attachments and markup aren't.
+
+Content that can't be read makes no job fail: null, a JSON null and an empty string are no content, so the text counts; what is no
+JSON, or JSON other than a list or an object, is one text part, as it stands; in a list, strings are text parts and
+entries of other kinds, or of unknown type, are text parts of their JSON; a number that is missing or can't be read takes its
+default, a negative one counts as zero, one above a billion as a billion.
 """
 
 from __future__ import annotations
@@ -123,24 +129,48 @@ class Flattener:
         self._attach("document", part.ref, part.pages * DOCUMENT_TOKENS_A_PAGE)
 
 
+def _number(x, default: float) -> float:
+    try:
+        found = float(x)
+    except (TypeError, ValueError, OverflowError):
+        return default
+    return min(max(0.0, found), 1e9) if math.isfinite(found) else default
+
+
+def _said(x) -> str:
+    """A string from JSON; halves of surrogate pairs, which no UTF-8 text has, become question marks."""
+    return (x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)).encode("utf-8", "replace").decode()
+
+
+def _part(x):
+    kind = x.get("type", "text") if isinstance(x, dict) else None
+    if isinstance(x, str):
+        return TextPart(_said(x))
+    ref = _said(x.get("ref") or "") if kind in ("image", "audio", "document") else ""
+    if kind == "text" and isinstance(x.get("text") or "", str):
+        return TextPart(_said(x.get("text") or ""))
+    if kind == "image":
+        return ImagePart(ref, int(_number(x.get("width"), IMAGE_PATCH)), int(_number(x.get("height"), IMAGE_PATCH)))
+    if kind == "audio":
+        return AudioPart(ref, _number(x.get("seconds"), 0.0))
+    if kind == "document":
+        return DocumentPart(ref, int(_number(x.get("pages"), 1)))
+    return TextPart(_said(x))
+
+
 def parts_of(content: str | None, text: str | None) -> list:
     """The typed parts of a turn: a JSON list of {"type": ..., ...} or else the plain text."""
-    if content is None:
+    if not content:
+        return [TextPart(text or "")]
+    try:
+        read = json.loads(content)
+    except (ValueError, RecursionError):
+        return [TextPart(content)]
+    if read is None:
         return [TextPart(text or "")]
-    made = []
-    for x in json.loads(content):
-        kind = x.get("type", "text")
-        if kind == "text":
-            made.append(TextPart(x.get("text") or ""))
-        elif kind == "image":
-            made.append(ImagePart(x.get("ref") or "", int(x.get("width") or IMAGE_PATCH), int(x.get("height") or IMAGE_PATCH)))
-        elif kind == "audio":
-            made.append(AudioPart(x.get("ref") or "", float(x.get("seconds") or 0)))
-        elif kind == "document":
-            made.append(DocumentPart(x.get("ref") or "", int(x.get("pages") or 1)))
-        else:
-            raise ValueError(f"unknown content part: {kind}")
-    return made
+    if isinstance(read, dict):
+        read = [read]
+    return [_part(x) for x in read] if isinstance(read, list) else [TextPart(content)]
 
 
 def format_turn(role: str | None, parts: list) -> tuple[str, list[tuple[int, int]], list[dict]]:
@@ -172,7 +202,7 @@ def parse_turn(segment: str) -> tuple[str, list]:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 _ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("place", pa.int32()), ("ref", pa.string()), ("tokens", pa.int64())]))
 SEGMENTS = (
-    "conv_id long, turn long, segment string, "
+    "segment string, "
     "loss array<struct<start:int,length:int>>, attachments array<struct<kind:string,place:int,ref:string,tokens:bigint>>"
 )
 
@@ -184,7 +214,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     prepare(turns.sparkSession)
     content = F.col("content").cast("string") if "content" in turns.columns else F.lit(None).cast("string")
-    plain = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), content.alias("content"))
+    plain = turns.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"), content.alias("content"))
 
     def form(batches):
         for batch in batches:
@@ -198,8 +228,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 names=["conv_id", "turn", "segment", "loss", "attachments"],
             )
 
+    ids = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
     return (
-        plain.mapInArrow(form, SEGMENTS)
+        plain.mapInArrow(form, f"{ids}, {SEGMENTS}")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "segment")
         .select("conv_id", "turn", "segment", "loss", "attachments")
@@ -214,17 +245,17 @@ def read_back(segments: DataFrame) -> DataFrame:
     """
     prepare(segments.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def read(batches):
-        now, state = None, None
+        now, state, kind = None, None, pa.int64()
 
         def row():
             turns, said, learnt = state["n"], state["said"].hexdigest(), state["learnt"].hexdigest()
             return (now, turns, said, state["chars"], learnt, state["formatted"], state["attached"], state["tokens"])
 
         for batch in batches:
-            done = []
+            done, kind = [], batch.column(0).type
             for conv, _, segment, loss, attached in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or conv != now:
                     if state is not None:
@@ -241,15 +272,15 @@ def read_back(segments: DataFrame) -> DataFrame:
                 state["formatted"] += len(segment)
                 state["attached"] += len(attached)
                 state["tokens"] += sum(x["tokens"] for x in attached)
-            yield arrow(done)
+            yield arrow(done, kind)
         if state is not None:
-            yield arrow([row()])
+            yield arrow([row()], kind)
 
-    def arrow(rows):
+    def arrow(rows, kind):
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *kinds], strict=True)], names=names)
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long"
+    schema = f"conv_id {segments.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long"
     return segments.select("conv_id", "turn", "segment", "loss", "attachments").mapInArrow(read, schema)
 
 

@@ -9,9 +9,11 @@ words that are marked is its coverage; a document that covers an item to THRESHO
 The benchmark is a stated query set: it is sent to every executor in blocks of at most BLOCK_BYTES of text,
 and each block is held against all documents; nothing is shuffled.
 
-Defined results: a null or empty text is clean; items of fewer than SEED words are left out, for a
-single common word would match them; repeated items each count; of equally covered items the one with the lowest id
-is named first; an empty benchmark leaves all documents clean.
+Defined results: a null or empty text is clean; an item of fewer than SEED words is matched whole: its words, all of
+them, must stand in the text in one run, and an item of a single word must be all that the text says, for a common word stands
+in any text; items without words match nothing; repeated items each count; of equally covered items the one with the lowest id is
+named first; an empty benchmark leaves all documents clean; repeated rows get equal results; very long texts are searched whole;
+where the table has a column of the result's name, the result's name is lengthened by underscores.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import prepare, text_or_empty
+from tidemark.llm.common import free_name, prepare, text_or_empty
 
 SEED, THRESHOLD = 5, 0.6
 BLOCK_BYTES = 16 << 20
@@ -113,6 +115,10 @@ class Benchmark:
         self.seed, self.codes = seed, {}
         split = [(i, words_of(t)) for i, t in items]
         self.items = [(i, np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in ws], dtype=np.int64)) for i, ws in split if len(ws) >= seed]
+        self.short: dict[tuple[int, ...], list[int]] = {}  # items of fewer words, by their codes
+        for i, ws in split:
+            if 0 < len(ws) < seed:
+                self.short.setdefault(tuple(self.codes.setdefault(w, len(self.codes) + 1) for w in ws), []).append(i)
         hashes = [_run_hashes(codes, seed) for _, codes in self.items]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, dtype=np.int64)
@@ -124,6 +130,18 @@ class Benchmark:
     def hits(self, text: str, threshold: float) -> list[dict]:
         get = self.codes.get
         codes = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
+        out = self._whole(codes) if self.short else []
+        return sorted(out + self._tiled(codes, threshold), key=lambda x: (-x["coverage"], x["item_id"]))
+
+    def _whole(self, codes: np.ndarray) -> list[dict]:
+        """Items of fewer words than a seed whose words stand here in one run."""
+        listed, found = codes.tolist(), set()
+        for width in {len(x) for x in self.short}:
+            runs = [tuple(listed)] if width == 1 else zip(*(listed[i:] for i in range(width)), strict=False)
+            found.update(r for r in runs if r in self.short)
+        return [{"item_id": i, "coverage": 1.0, "tiles": 1, "words": len(r)} for r in found for i in self.short[r]]
+
+    def _tiled(self, codes: np.ndarray, threshold: float) -> list[dict]:
         if len(codes) < self.seed or not len(self.seeds):
             return []
         known = np.concatenate([[0], np.cumsum(codes > 0)])
@@ -141,7 +159,7 @@ class Benchmark:
             covered = sum(k for k, _, _ in made)
             if covered >= threshold * len(item):
                 out.append({"item_id": number, "coverage": covered / len(item), "tiles": len(made), "words": covered})
-        return sorted(out, key=lambda x: (-x["coverage"], x["item_id"]))
+        return out
 
 
 def _blocks(benchmark: DataFrame, limit: int):
@@ -155,9 +173,10 @@ def _blocks(benchmark: DataFrame, limit: int):
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, column: str = "hits", limit: int = BLOCK_BYTES) -> DataFrame:
-    """docs with one more column: the items that each text covers, the best covered first."""
+    """docs with one more column, the last: the items that each text covers, the best covered first."""
     spark = docs.sparkSession
     prepare(spark)
+    column = free_name(column, docs)
     place = docs.columns.index("text")
     out = docs.withColumn(column, F.array().cast(HITS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("words", pa.int32())]))
@@ -178,9 +197,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that aren't contaminated, all columns as they are."""
-    column = "__hits"
-    while column in docs.columns:
-        column += "_"
+    column = free_name("__hits", docs)
     return with_hits(docs, benchmark, threshold, column).filter(F.size(column) == 0).drop(column)
 
 

@@ -5,7 +5,8 @@ ascend; each row holds its place among its file's ids. Reads go stripe by stripe
 filter on doc_id prunes stripes and row groups by their statistics and Bloom filters.
 
 Defined results: a null or empty text has its end id only; an empty table gives no rows; rows with the
-same doc_id stand side by side, by the text's hash; a null doc_id comes first.
+same doc_id stand side by side, by the text's hash; a null doc_id comes first; doc_ids keep their type; a very long text is
+one row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ FORMAT = {
     "orc.stripe.size": str(32 << 20),
     "compression": "zstd",
 }
-SCHEMA = "doc_id long, n_tokens int, file_start long, ids array<int>"
+SCHEMA = "n_tokens int, file_start long, ids array<int>"
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -52,20 +53,20 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
             at += int(ends[-1]) if len(ends) else 0
 
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        docs.select("doc_id", text_or_empty().alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(encode, SCHEMA)
+        .mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
         .write.options(**FORMAT).orc(path)
     )
 
 
-def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
+def read_token_orc(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """(doc_id, start, n_tokens, ids); start: the ids of all documents before it, over all files."""
-    stored = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_path"))
+    stored = spark.read.schema(f"doc_id {id_type}, {SCHEMA}").orc(path).withColumn("file", F.col("_metadata.file_path"))
     # One row for each file: as many as there were partitions to write.
     files = stored.groupBy("file").agg(F.min("doc_id").alias("least"), F.max(F.col("file_start") + F.col("n_tokens")).alias("held"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    rows = sorted(files.collect(), key=lambda r: (r.nulls == 0, r.least is not None, r.least or 0))
+    rows = sorted(files.collect(), key=lambda r: (r.nulls == 0, r.least is not None, 0 if r.least is None else r.least))
     starts, at = [], 0
     for r in rows:
         starts.append((r.file, at))
@@ -84,7 +85,8 @@ def checksums(read: DataFrame) -> DataFrame:
             sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read.select("doc_id", "start", "n_tokens", "ids").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    id_type = read.schema["doc_id"].dataType.simpleString()
+    return read.select("doc_id", "start", "n_tokens", "ids").mapInArrow(digest, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_orc(spark, sf_dir: str) -> DataFrame:
