@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 from numbers import Number
 
 import duckdb
@@ -14,8 +15,10 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 SLOW = {"gp_evolve", "gauntlet", "meta_label", "pipeline"}
+#: Queries that find nothing among so few events.
+MAY_BE_EMPTY = {"confirmed_rules", "level2_combinations", "mean_reversion_labels", "microstructure"}
 #: Those that need more events than the smallest size has.
-LARGER = {"gmm_regimes", "kmeans_regimes", "gbt_deciles", "meta_label", "gauntlet", "gp_evolve", "level2_combinations"}
+LARGER = {"gmm_regimes", "kmeans_regimes", "gbt_deciles", "meta_label", "gauntlet", "gp_evolve"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
@@ -28,9 +31,28 @@ def duck():
     return c
 
 
+def cells(df: pd.DataFrame) -> list[tuple]:
+    """Rows with columns by name; numbers as floats, what is missing as None, all else as text."""
+    one = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else float(x) + 0.0 if isinstance(x, Number) and not isinstance(x, (bool, np.bool_)) else str(x)
+    return [tuple(one(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False)]
+
+
 def normal(df: pd.DataFrame) -> list[tuple]:
-    one = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else round(float(x), 6) + 0.0 if isinstance(x, Number) and not isinstance(x, (bool, np.bool_)) else str(x)
-    return sorted((tuple(one(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False)), key=str)
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in row) for row in cells(df)), key=str)
+
+
+def differing(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    """Rows of a and b that aren't the same, one for one. Rows that differ are held against each other with a unit in the last
+    rounded digit to spare: sums in another order may fall on the other side of a rounding tie."""
+    left, right = Counter(a), Counter(b)
+    one, other = sorted((left - right).elements(), key=coarse), sorted((right - left).elements(), key=coarse)
+    same = lambda x, y: x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1.01e-4 * max(1e-2, min(1, abs(x)))
+    return [(x, y) for x, y in zip(one, other, strict=True) if not all(map(same, x, y))]
+
+
+def coarse(row: tuple) -> str:
+    """What a row is sorted by: its texts first, then its numbers without their last digits."""
+    return str([v for v in row if not isinstance(v, float)]) + str([f"{v:.3e}" for v in row if isinstance(v, float)])
 
 
 def test_every_twin_has_a_query():
@@ -43,7 +65,8 @@ def test_query_equals_its_twin(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     a, b = normal(got), normal(want)
     assert len(a) == len(b)
-    assert sum(x != y for x, y in zip(a, b, strict=True)) <= len(a) // 500  # digits where rounding ties fall apart
+    assert not differing(a, b)
+    assert a or name in MAY_BE_EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW - LARGER - {n for n in QUERIES if n.startswith("op")}))

@@ -177,7 +177,7 @@ def test_permutation_tells_a_rule_from_chance(spark):
             for rule, lift in (("good", 1.0), ("chance", 0.0)):
                 rows.append((rule, d, float(rng.normal() + lift * (k == 0)), k == 0))
     m = spark.createDataFrame(rows, "rule string, date date, net double, chosen boolean")
-    got = {r.rule: r for r in validation.permutation_test(m, Settings(n_permutations=60), batch=20).collect()}
+    got = {r.rule: r for r in validation.permutation_test(m, Settings(n_permutations=60)).collect()}
     assert got["good"].perm_pass and got["good"].n_selected == 80 and not got["chance"].perm_pass
 
 

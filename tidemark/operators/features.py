@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import business_day, carried, flag, over_zero, pct_change_of, rolling_max, rolling_mean, rolling_min, rolling_pct_rank, rolling_std, rolling_sum, series
 from tidemark.operators.joins import asof, densify, exact, leave_one_out_median, member_flag, near_flag
-from tidemark.sources.readers import Registry
+from tidemark.sources.readers import PLACE, Registry
+
+
+def _first(t: DataFrame, by: list[str], **values: str) -> DataFrame:
+    """Of each key's rows the first in the table: (by..., values by their new names)."""
+    kept = F.struct(*(F.col(c).alias(n) for n, c in values.items()))
+    return t.groupBy(*by).agg(F.min_by(kept, PLACE).alias("_kept")).select(*by, "_kept.*")
+
+
+def _last(t: DataFrame, by: list[str], **values: str) -> DataFrame:
+    kept = F.struct(*(F.col(c).alias(n) for n, c in values.items()))
+    return t.groupBy(*by).agg(F.max_by(kept, PLACE).alias("_kept")).select(*by, "_kept.*")
 
 
 def price_volume(daily: DataFrame) -> DataFrame:
@@ -58,15 +69,17 @@ def _daily(reg: Registry, key: str, value: str | None = None) -> DataFrame | Non
 
 
 def market(frame: DataFrame, reg: Registry, strict_asof: bool = False, base: DataFrame | None = None) -> DataFrame:
-    """Market-wide factors. base: the frame's keys by a short plan. strict_asof: foreign closes count from the next day on, where rows bear the session's own date."""
+    """Market-wide factors. base: the frame's keys by a short plan. strict_asof: foreign closes count from the next day on, where rows bear the session's own date.
 
-    base = frame if base is None else base
+    All of them depend on the date alone, so they are put together on the calendar, one row a day, and joined to the frame once.
+    """
+    base = (frame if base is None else base).select("date").distinct()
     whole = Window.partitionBy(F.lit(0)).orderBy("date")  # a market-wide series is one short calendar
 
     def change(s: DataFrame, k: int = 1):
         return s.withColumn("_f", carried(F.col("value"), whole)).withColumn("_c", pct_change_of(F.col("_f"), whole, k) * 100)
 
-    out = frame
+    out = base
     if (s := _daily(reg, "nifty")) is not None:
         c = s.withColumns({"_1": pct_change_of(F.col("value"), whole), "_5": pct_change_of(F.col("value"), whole, 5), "_m": rolling_mean(F.col("value"), whole, 50)})
         c = c.select("date", (F.lag("_1").over(whole) * 100).alias("nifty_ret_1d"), (F.lag("_5").over(whole) * 100).alias("nifty_ret_5d"), F.lag(flag(F.col("value") > F.col("_m"))).over(whole).alias("nifty_above_50dma"))
@@ -94,7 +107,7 @@ def market(frame: DataFrame, reg: Registry, strict_asof: bool = False, base: Dat
         out = asof(out, c, ["repo_rate", "repo_chg_recent"], calendar=base)
     if (t := reg.get("fii_dii")) is not None and "fii_net" in t.columns:
         n = F.col("fii_net").cast("double")
-        c = t.groupBy("date").agg(F.last("fii_net").alias("fii_net")).select("date", F.lag(n).over(whole).alias("fii_net_prev"), rolling_sum(n, whole, 5, 1).alias("fii_net_5d"))
+        c = _last(t, ["date"], fii_net="fii_net").select("date", F.lag(n).over(whole).alias("fii_net_prev"), rolling_sum(n, whole, 5, 1).alias("fii_net_5d"))
         out = exact(out, c, ["date"])
     if (t := reg.get("cpi_wpi_iip")) is not None:
         out = member_flag(out, t, ["date"], "macro_release_today")
@@ -103,7 +116,7 @@ def market(frame: DataFrame, reg: Registry, strict_asof: bool = False, base: Dat
             days = t.select(F.col("date").alias("_h")).distinct()
             out = out.withColumn("_h", business_day(F.col("date"), step))
             out = member_flag(out, days, ["_h"], name).drop("_h")
-    return out
+    return frame.join(F.broadcast(out), "date", "left") if len(out.columns) > 1 else frame  # a row for each day
 
 
 def derivatives(frame: DataFrame, reg: Registry) -> DataFrame:
@@ -149,7 +162,7 @@ def smart_money(frame: DataFrame, reg: Registry, base: DataFrame | None = None)
             has = F.max((F.col("series") == "EQ").cast("int")).over(Window.partitionBy("symbol"))
             t = t.withColumn("_has", has).filter((F.col("_has") == 0) | (F.col("series") == "EQ"))
         x = F.col("delivery_pct").cast("double")
-        d = t.groupBy(*keys).agg(F.first("delivery_pct").alias("delivery_pct"))
+        d = _first(t, keys, delivery_pct="delivery_pct")
         d = d.select(*keys, F.lag(x).over(w).alias("delivery_pct"), over_zero(F.lag(x).over(w) - rolling_mean(x, w, 20, 1), rolling_std(x, w, 20, 1)).alias("delivery_z20"))
         out = exact(out, d, keys)
     if (t := reg.get("fno_ban")) is not None:
@@ -157,11 +170,11 @@ def smart_money(frame: DataFrame, reg: Registry, base: DataFrame | None = None)
         out = out.withColumn("fno_ban_exit", flag((F.lag("fno_ban_today").over(w) == 1) & (F.col("fno_ban_today") == 0)))
     if (t := reg.get("participant_oi")) is not None:
         ls = over_zero(F.col("fii_fut_long"), F.col("fii_fut_short"))
-        p = t.groupBy("date").agg(*(F.first(c).alias(c) for c in t.columns if c != "date")).withColumns({"_ls": ls, "_pc": over_zero(F.col("client_opt_put_oi"), F.col("client_opt_call_oi"))})
+        p = _first(t, ["date"], **{c: c for c in t.columns if c not in ("date", PLACE)}).withColumns({"_ls": ls, "_pc": over_zero(F.col("client_opt_put_oi"), F.col("client_opt_call_oi"))})
         p = p.select("date", F.lag("_ls").over(whole).alias("fii_fut_long_short"), (F.lag("_ls").over(whole) - F.lag("_ls", 6).over(whole)).alias("fii_fut_ls_chg5d"), F.lag("_pc").over(whole).alias("client_opt_pcr"))
         out = exact(out, p, ["date"])
     if (t := reg.get("short_selling")) is not None:
-        s = t.groupBy(*keys).agg(F.first("short_qty").alias("_q"), F.first("traded_qty").alias("_t")).withColumn("_p", over_zero(F.col("_q"), F.col("_t")) * 100)
+        s = _first(t, keys, _q="short_qty", _t="traded_qty").withColumn("_p", over_zero(F.col("_q"), F.col("_t")) * 100)
         s = s.select(*keys, F.lag("_p").over(w).alias("short_interest_pct"), rolling_pct_rank(F.col("_p"), w, 90).alias("_r")).withColumn("si_pctile_90d", F.lag("_r").over(w)).drop("_r")
         out = exact(out, s, keys)
     if (t := reg.get("bulk_deals")) is not None:
@@ -176,11 +189,11 @@ def smart_money(frame: DataFrame, reg: Registry, base: DataFrame | None = None)
     sectors = reg.get("sector_map")
     if (t := reg.get("sector_rotation")) is not None and sectors is not None:
         by = Window.partitionBy("sector").orderBy("date")
-        r = t.groupBy("sector", "date").agg(F.first("rs_ratio").alias("_r"), F.first("rs_momentum").alias("_m"))
+        r = _first(t, ["sector", "date"], _r="rs_ratio", _m="rs_momentum")
         r = r.select("sector", "date", F.lag("_r").over(by).alias("sector_rs_ratio"), F.lag("_m").over(by).alias("sector_rs_momentum"))
         out = out.join(sectors, "symbol", "left").join(r, ["sector", "date"], "left").drop("sector")
     if (t := reg.get("promoter_pledges")) is not None:
-        p = densify(t.groupBy(*keys).agg(F.first("pledge_pct").cast("double").alias("_p")), ["symbol"], business=False)
+        p = densify(_first(t, keys, _p="pledge_pct").withColumn("_p", F.col("_p").cast("double")), ["symbol"], business=False)
         p = p.withColumn("_p", carried(F.col("_p"), w)).select(*keys, F.col("_p").alias("pledge_pct"), (F.col("_p") - F.lag("_p", 90).over(w)).alias("pledge_chg_90d"))
         out = asof(out, p, ["pledge_pct", "pledge_chg_90d"], by=["symbol"], calendar=frame if base is None else base)
     if (t := reg.get("constituent_changes")) is not None:

@@ -1,7 +1,7 @@
 """Evolved formulas: expression trees compiled to columns, scored many at a time.
 
 A generation is evaluated in one pass: all formulas become columns of one select, are unpivoted, and ranked within
-(formula, split), so neither formulas nor ranks are a loop over jobs or one global window.
+(formula, split). A rank among all rows inside a formula is taken cell by cell in many tasks.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS, Settings
-from tidemark.functions.columns import corr, over_zero, pct_rank, rolling_mean, rolling_pct_rank, rolling_std
-from tidemark.operators.stats import spearman
+from tidemark.functions.columns import corr, over_zero, rolling_mean, rolling_pct_rank, rolling_std
+from tidemark.operators.stats import ranked, spearman
 
 
 def _rows():
@@ -27,7 +27,7 @@ UNARY = {
     "abs": F.abs,
     "sign": F.signum,
     "log1p_abs": lambda a: F.signum(a) * F.log1p(F.abs(a)),
-    "rank": lambda a: pct_rank(a, [F.lit(0)]),
+    "rank": None,  # among all rows: ranked() in many tasks, not a column
 }
 BINARY = {
     "add": lambda a, b: a + b,
@@ -132,7 +132,8 @@ def evaluated(df: DataFrame, formulas: list[Formula], prefix: str = "_g") -> tup
         plain = {f: column(f.args[0]) for f in levels[k]}
         args = {f"{made[f]}_a": c for f, c in plain.items()}
         out = out.withColumns(args)
-        out = out.withColumns({made[f]: {**UNARY, **SERIES}[f.op](F.col(f"{made[f]}_a")) for f in levels[k]}).drop(*args)
+        out = ranked(out, {made[f]: f"{made[f]}_a" for f in levels[k] if f.op == "rank"}, share=True)
+        out = out.withColumns({made[f]: SERIES[f.op](F.col(f"{made[f]}_a")) for f in levels[k] if f.op != "rank"}).drop(*args)
         helpers += [made[f] for f in levels[k]]
     names = [f"{prefix}{i}" for i in range(len(formulas))]
     return out.withColumns({n: column(f) for n, f in zip(names, formulas, strict=True)}).drop(*helpers), names

@@ -65,12 +65,17 @@ def densify(df: DataFrame, by: list[str], business: bool, fill: dict | None = No
 
 
 def leave_one_out_median(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
-    """The median of the other rows' values in each group. Only the group's sorted values travel; a row's own place in
-    them tells which the middle ones are once it is left out."""
-    values = df.filter(F.col(x).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(x)).alias("_v"))
-    n, place = F.size("_v"), F.array_position("_v", F.col(x)).cast("int")
-    others = n - F.when(F.col(x).isNotNull(), 1).otherwise(0)
-    skip = lambda k: F.when(F.col(x).isNotNull() & (k >= place), k + 1).otherwise(k)
-    low, high = F.floor((others + 1) / 2).cast("int"), F.floor((others + 2) / 2).cast("int")
-    at = lambda k: F.get("_v", skip(k) - 1)
-    return df.join(values, by, "left").withColumn(name, F.when(others > 0, (at(low) + at(high)) / 2)).drop("_v")
+    """The median of the other rows' values in each group.
+
+    Of a group only its size, its median and the four values around its middle travel to its rows: what is left when a row's
+    own value goes out is told by the side of the middle on which the value stands.
+    """
+    v = F.col(x).cast("double")
+    held = df.filter(F.col(x).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(v)).alias("_v"))
+    n = F.size("_v")
+    at = lambda k: F.get("_v", k.cast("int") - 1)  # noqa: E731  the k-th value, from 1
+    low, high = F.floor(n / 2), F.floor((n + 1) / 2)
+    middle = held.select(*by, n.alias("_n"), ((at(high) + at(F.floor(n / 2) + 1)) / 2).alias("_m"), at(low).alias("_a"), at(low + 1).alias("_b"), at(high).alias("_c"), at(high + 1).alias("_d"))
+    rest = (F.when(v > F.col("_a"), F.col("_a")).otherwise(F.col("_b")) + F.when(v > F.col("_c"), F.col("_c")).otherwise(F.col("_d"))) / 2
+    others = F.when(v.isNull(), F.col("_m")).when(F.col("_n") > 1, rest)
+    return df.join(middle, by, "left").withColumn(name, others).drop("_n", "_m", "_a", "_b", "_c", "_d")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS, Settings
-from tidemark.operators.stats import edge_metrics, spearman
+from tidemark.functions.columns import corr
+from tidemark.operators.stats import edge_metrics, ranked
 
 
 def with_missing_flags(df: DataFrame, columns: list[str], train: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -42,7 +43,9 @@ def decile_report(predicted: DataFrame, target: str) -> DataFrame:
 
 
 def prediction_ic(predicted: DataFrame, target: str) -> DataFrame:
-    return spearman(predicted.select(F.lit(0).alias("k"), "prediction", F.col(target).cast("double").alias("_y")), ["k"], "prediction", "_y").drop("k")
+    """(ic, n): rank correlation of prediction and target over all rows, ranked in many tasks."""
+    both = predicted.select("prediction", F.col(target).cast("double").alias("_y")).filter("prediction IS NOT NULL AND _y IS NOT NULL")
+    return ranked(both, {"_a": "prediction", "_b": "_y"}).agg(corr("_a", "_b").alias("ic"), F.count("*").alias("n"))
 
 
 def permutation_importance(predicted: DataFrame, model, inputs: list[str], columns: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
@@ -82,7 +85,9 @@ def meta_label(fired: DataFrame, columns: list[str], s: Settings = SETTINGS, see
         return None
     ready, inputs = with_missing_flags(rows, columns, rows.filter(side))
     ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(ready)
-    train = ready.filter(side).withColumn("_half", F.ntile(4).over(Window.orderBy("date")) == 4)  # one rule's training events
+    train = ready.filter(side)
+    last = train.groupBy("date").count().select("date", (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("date")) > 0.75 * n.a).alias("_half"))  # one row for each day
+    train = train.join(F.broadcast(last), "date")
     model = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="weight", maxDepth=3, maxIter=trees, subsamplingRate=0.7, seed=seed).fit(train.filter("NOT _half"))
     raw = lambda df: model.transform(df).withColumn("_p", F.get(vector_to_array("probability"), F.lit(1)))
     calibrated = IsotonicRegression(featuresCol="_p", labelCol="label", weightCol="weight", predictionCol="prob").fit(raw(train.filter("_half")))

@@ -170,6 +170,44 @@ def net(gross: Column, cost: Column | None = None) -> Column:
     return gross - (flat if cost is None else F.coalesce(cost, flat))
 
 
+#: Cells that a column's values are cut into to be ranked in many tasks.
+RANK_CELLS = 64
+
+
+def _cuts_below(cuts: list[float], x: Column) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < x))
+
+
+def ranked(df: DataFrame, columns: dict[str, str], share: bool = False) -> DataFrame:
+    """df with the rank (or, as a share of the values, the percentile rank) of columns among all rows: {new name: column}; ties averaged.
+
+    Values are cut into cells at rough quantiles; a cell's rows are ranked in a task of their own, and the number of values in
+    the cells below is added, so ranks are exact wherever the cuts fall. Cuts and counts (RANK_CELLS numbers for a column) pass through the driver.
+    """
+    if not columns:
+        return df
+    shares = F.array(*(F.lit(i / RANK_CELLS) for i in range(1, RANK_CELLS)))
+    value = {n: F.col(c).cast("double") for n, c in columns.items()}
+    cuts = df.agg(*(F.percentile_approx(value[n], shares, F.lit(1000)).alias(n) for n in columns)).first()
+    # Missing values are dealt over cells of their own, so they meet in no single task.
+    lost = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(RANK_CELLS)).cast("int")
+    at = {n: _cuts_below(cuts[n] or [0.0], value[n]) for n in columns}
+    each = F.array(*(F.struct(F.lit(n).alias("name"), F.when(value[n].isNotNull(), at[n]).alias("cell")) for n in columns))
+    counts = df.select(F.explode(each).alias("e")).filter("e.cell IS NOT NULL").groupBy("e.name", "e.cell").count().collect()
+    out = df.withColumns({f"_cell_{n}": F.when(value[n].isNotNull(), at[n]).otherwise(lost) for n in columns})
+    found = {}
+    for n in columns:
+        size = [0] * (RANK_CELLS + 1)
+        for r in counts:
+            if r.name == n:
+                size[r.cell] = r["count"]
+        below = F.get(F.array(*(F.lit(sum(size[:i])) for i in range(len(size)))), F.col(f"_cell_{n}"))
+        inside = Window.partitionBy(f"_cell_{n}")
+        place = below + F.rank().over(inside.orderBy(value[n])) + (F.count("*").over(inside.partitionBy(f"_cell_{n}", value[n])) - 1) / 2
+        found[n] = F.when(value[n].isNotNull(), place / F.lit(sum(size)) if share else place)
+    return out.withColumns(found).drop(*(f"_cell_{n}" for n in columns))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(keys..., ic, n): rank correlation over rows that have both values, ties averaged; keys partition the ranking."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -108,60 +108,53 @@ def _stationary(rng: np.random.Generator, n: int, block: float, size: int) -> np
     return (starts[which] + np.arange(size) - which) % n
 
 
-def permutation_test(members: DataFrame, s: Settings = SETTINGS, seed: int = 0, batch: int = 50) -> DataFrame:
+def permutation_test(members: DataFrame, s: Settings = SETTINGS, seed: int = 0) -> DataFrame:
     """How often does a rule that selects as many events a day, on shuffled days, do as well? members: rule, date, net, chosen.
 
-    One rule's day structure goes to each batch of replicates; batches of all rules run side by side.
+    A rule's returns travel once, to one group, where all replicates are drawn; rules run side by side. A replicate deals the days'
+    numbers of selected events to other days and takes so many of a day's events at random: those with the lowest random keys.
     """
     ship_package(members.sparkSession)
-    rows = members.filter("net IS NOT NULL")
-    days = rows.groupBy("rule", "date").agg(F.collect_list(F.when(~F.coalesce("chosen", F.lit(False)), F.col("net"))).alias("rest"), F.collect_list(F.when(F.col("chosen"), F.col("net"))).alias("taken"))
-    batches = members.sparkSession.range(-(-s.n_permutations // batch)).select(F.col("id").alias("batch"))
-    dealt = days.join(F.broadcast(batches), F.lit(True))  # a fixed number of batches
+    rows = members.filter("net IS NOT NULL").select("rule", "date", F.col("net").cast("double").alias("net"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rule, number = key
-        pdf = pdf.sort_values("date")
-        values = [np.sort(np.concatenate([a, b]).astype(float)) for a, b in zip(pdf["taken"], pdf["rest"], strict=True)]
-        counts = np.array([len(x) for x in pdf["taken"]])
-        taken = np.concatenate([np.asarray(x, dtype=float) for x in pdf["taken"]]) if len(pdf) else np.zeros(0)
-        real, beats = (taken.mean() if len(taken) else np.nan), 0
-        runs = min(batch, s.n_permutations - number * batch)
-        for r in range(runs):
-            rng = _seeded(seed, number, r)
-            total = size = 0.0
-            for day, k in zip(values, rng.permutation(counts), strict=True):
-                if k:
-                    got = day if k >= len(day) else rng.choice(day, size=k, replace=False)
-                    total, size = total + got.sum(), size + len(got)
-            beats += size > 0 and total / size >= real
-        return pd.DataFrame({"rule": [rule], "beats": [beats], "runs": [runs], "selected": [len(taken)], "real": [real]})
-
-    part = dealt.groupBy("rule", "batch").applyInPandas(run, "rule string, beats long, runs long, selected long, real double")
-    out = part.groupBy("rule").agg(((F.sum("beats") + 1) / (F.sum("runs") + 1)).alias("_p"), F.max("selected").alias("n_selected"), F.max("real").alias("_m"))
-    enough = F.col("n_selected") >= 30
-    return out.select("rule", "n_selected", F.when(enough, F.bround("_p", 4)).alias("perm_p"), F.coalesce(enough & (F.col("_p") < 0.05), F.lit(False)).alias("perm_pass"), F.bround("_m", 4).alias("net_mean"))
-
-
-def bootstrap_ci(members: DataFrame, s: Settings = SETTINGS, seed: int = 0, batch: int = 100, order: tuple[str, ...] = ("date",)) -> DataFrame:
-    """5 and 95 percent points of the mean under a stationary block bootstrap of each rule's chronological returns."""
+        pdf = pdf.sort_values(["date", "net", "chosen"], kind="stable")  # the same draws however rows arrive
+        x, taken = pdf["net"].to_numpy(), pdf["chosen"].to_numpy()
+        day = pd.factorize(pdf["date"])[0]
+        sizes, counts = np.bincount(day), np.bincount(day, weights=taken).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(len(x)) - first[day]  # within the day, once it is in random order
+        real, beats = (x[taken].mean() if taken.any() else np.nan), 0
+        for r in range(s.n_permutations):
+            rng = _seeded(seed, r)
+            dealt = np.minimum(rng.permutation(counts), sizes)
+            got = np.lexsort((rng.random(len(x)), day))[place < dealt[day]]
+            beats += len(got) > 0 and x[got].mean() >= real
+        return pd.DataFrame({"rule": [key[0]], "beats": [int(beats)], "n_selected": [int(taken.sum())], "real": [real]})
+
+    out = rows.groupBy("rule").applyInPandas(run, "rule string, beats long, n_selected long, real double")
+    p, enough = (F.col("beats") + 1) / F.lit(s.n_permutations + 1), F.col("n_selected") >= 30
+    return out.select("rule", "n_selected", F.when(enough, F.bround(p, 4)).alias("perm_p"), F.coalesce(enough & (p < 0.05), F.lit(False)).alias("perm_pass"), F.bround("real", 4).alias("net_mean"))
+
+
+def bootstrap_ci(members: DataFrame, s: Settings = SETTINGS, seed: int = 0, order: tuple[str, ...] = ("date",)) -> DataFrame:
+    """5 and 95 percent points of the mean under a stationary block bootstrap of each rule's chronological returns.
+
+    A rule's returns travel once, to one group, where all replicates are drawn; only the two points come out.
+    """
     ship_package(members.sparkSession)
     known = members.filter("net IS NOT NULL").select("rule", "net", *order)
-    batches = members.sparkSession.range(-(-s.n_bootstrap // batch)).select(F.col("id").alias("batch"))
-    dealt = known.join(F.broadcast(batches), F.lit(True))  # a fixed number of batches
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rule, number = key
-        x = pdf.sort_values(list(order), kind="stable")["net"].to_numpy(dtype=float)
-        runs = min(batch, s.n_bootstrap - number * batch)
-        means = [x[_stationary(_seeded(seed, number, r), len(x), s.bootstrap_block, len(x))].mean() for r in range(runs)]
-        return pd.DataFrame({"rule": rule, "n": len(x), "mean": means})
-
-    means = dealt.groupBy("rule", "batch").applyInPandas(run, "rule string, n long, mean double")
-    out = means.groupBy("rule").agg(F.max("n").alias("n"), F.percentile("mean", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+        x = pdf.sort_values([*order, "net"], kind="stable")["net"].to_numpy(dtype=float)
+        means = [x[_stationary(_seeded(seed, r), len(x), s.bootstrap_block, len(x))].mean() for r in range(s.n_bootstrap)]
+        low, high = np.percentile(means, [5, 95])
+        return pd.DataFrame({"rule": [key[0]], "n": [len(x)], "low": [low], "high": [high]})
+
+    out = known.groupBy("rule").applyInPandas(run, "rule string, n long, low double, high double")
     enough = F.col("n") >= 50
-    ci = F.when(enough, F.struct(F.bround(F.col("q")[0], 4).alias("lo"), F.bround(F.col("q")[1], 4).alias("hi")))
-    return out.select("rule", "n", ci.alias("boot_ci_5_95"), F.coalesce(enough & (F.col("q")[0] > 0), F.lit(False)).alias("boot_pass"))
+    ci = F.when(enough, F.struct(F.bround("low", 4).alias("lo"), F.bround("high", 4).alias("hi")))
+    return out.select("rule", "n", ci.alias("boot_ci_5_95"), F.coalesce(enough & (F.col("low") > 0), F.lit(False)).alias("boot_pass"))
 
 
 def daily_matrix(members: DataFrame) -> DataFrame:
@@ -172,10 +165,11 @@ def daily_matrix(members: DataFrame) -> DataFrame:
     return grid.join(day, ["rule", "date"], "left").select("date", "rule", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
-def spa_stepdown(members: DataFrame, replicates: int = 1000, block: int = 10, alpha: float = 0.05, seed: int = 42, batch: int = 100) -> DataFrame:
+def spa_stepdown(members: DataFrame, replicates: int = 1000, block: int = 10, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Family-wise error over all rules: bootstrapped maximum statistics, stepped down from the strongest rule.
 
-    A rule without variance has no statistic and isn't confirmed. The daily matrix (days by rules) goes to each batch of replicates.
+    A rule without variance has no statistic and isn't confirmed. The daily matrix (days by rules, one number for each) goes to one
+    group once, where all replicates are drawn.
     """
     spark = members.sparkSession
     ship_package(spark)
@@ -186,21 +180,19 @@ def spa_stepdown(members: DataFrame, replicates: int = 1000, block: int = 10, al
     schema = "rule string, spa_stat double, spa_p double, spa_confirmed boolean"
     if not names or observed[names[0]][0] < 60:
         return spark.createDataFrame([(n, None, None, False) for n in names], schema)
-    batches = spark.range(-(-replicates // batch)).select(F.col("id").alias("batch"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        (number,) = key
         m = pdf.pivot(index="date", columns="rule", values="ret").sort_index()[names].to_numpy()
         m = m - m.mean(axis=0)
         out = []
-        for r in range(min(batch, replicates - number * batch)):
-            x = m[_stationary(_seeded(seed, number, r), len(m), block, len(m))]
+        for r in range(replicates):
+            x = m[_stationary(_seeded(seed, r), len(m), block, len(m))]
             sd = x.std(axis=0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 out.append(np.where(sd > 0, x.mean(axis=0) / sd * math.sqrt(len(m)), -np.inf).tolist())
         return pd.DataFrame({"stats": out})
 
-    sample = grid.join(F.broadcast(batches), F.lit(True)).groupBy("batch").applyInPandas(run, "stats array<double>")
+    sample = grid.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "stats array<double>")
     boot = np.array([r.stats for r in sample.collect()])  # replicates by rules
     active, rows, open_ = set(range(len(names))), [], True
     for name in sorted(names, key=lambda n: (observed[n][1] is None, -(observed[n][1] or 0), n)):

@@ -130,14 +130,14 @@ def band_window_flag(spark, sf):
     return joins.near_flag(S.order_days(spark, sf), k, 10, ["symbol"], "near").select("symbol", "date", "near")
 
 
-_UNIVERSE = """u AS (SELECT c_mktsegment AS symbol, DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS from_date, CASE WHEN c_custkey % 97 <> 0 THEN DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) + 3 END AS to_date
-FROM customer WHERE c_custkey % 5 = 0)"""
+_UNIVERSE = """u AS (SELECT c_mktsegment AS symbol, DATE '1995-01-01' + CAST(c_custkey % 300 * 7 AS INTEGER) AS from_date, CASE WHEN c_custkey % 297 <> 296 THEN DATE '1995-01-01' + CAST(c_custkey % 300 * 7 AS INTEGER) + 3 END AS to_date
+FROM customer)"""
 
 
 def _universe(spark, sf):
     (c,) = S.tables(spark, sf, "customer")
-    start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int"))
-    return c.filter("c_custkey % 5 = 0").select(F.col("c_mktsegment").alias("symbol"), start.alias("from_date"), F.when(F.col("c_custkey") % 97 != 0, F.date_add(start, 3)).alias("to_date"))
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 300 * 7).cast("int"))
+    return c.select(F.col("c_mktsegment").alias("symbol"), start.alias("from_date"), F.when(F.col("c_custkey") % 297 != 296, F.date_add(start, 3)).alias("to_date"))
 
 
 @query("universe_range_semi", f"""WITH {S.DAYS_SQL}, {_UNIVERSE} SELECT symbol, date FROM d WHERE EXISTS (SELECT 1 FROM u WHERE u.symbol = d.symbol AND d.date >= u.from_date AND d.date <= coalesce(u.to_date, DATE '9999-12-31'))""", dates=("date",))

@@ -47,12 +47,6 @@ def combos(spark, sf):
     return shown(stats.measured(members, ["combo"], S.SPLIT, on=None, p_values=False).filter(F.col("is_n") >= T.min_events), "combo")
 
 
-@query("level2_combinations")
-def level2(spark, sf):
-    e = S.order_events(spark, sf)
-    return discovery.combinations_of(e, "target", discovery.single_factors(e, "target", S.FACTORS, T), T)
-
-
 @query("optimal_threshold", f"""WITH {S.EVENTS_SQL}, {_LONG}, lt AS (SELECT * FROM l WHERE {_TRAIN}), n AS (SELECT factor, list_sort(list_distinct([{', '.join(f'quantile_cont(x, {i / 20})' for i in range(1, 20))}])) AS cuts FROM lt GROUP BY factor HAVING count(*) >= 100 AND count(DISTINCT x) >= 5),
 c AS (SELECT factor, unnest(cuts) AS cut, unnest(range(len(cuts))) AS k FROM n),
 s AS (SELECT c.factor, cut, k, avg(ret) FILTER (WHERE x > cut) - avg(ret) FILTER (WHERE x <= cut) AS diff FROM c JOIN lt ON lt.factor = c.factor GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE x > cut) >= 50 AND count(*) FILTER (WHERE x <= cut) >= 50),
@@ -162,11 +156,6 @@ def deflated_sharpe_moments(spark, sf):
     return S.rounded(validation.moments(S.rule_members(spark, sf)), skew=5, kurt=5)
 
 
-@query("deflated_sharpe")
-def deflated_sharpe(spark, sf):
-    return validation.deflated_sharpe(S.rule_members(spark, sf), 50)
-
-
 _CUTS = T.boundary_dates
 
 
@@ -186,22 +175,22 @@ def _chosen(spark, sf):
 
 @query("permutation_p")
 def permutation_p(spark, sf):
-    return validation.permutation_test(_chosen(spark, sf), replace(T, n_permutations=60), batch=20)
+    return validation.permutation_test(_chosen(spark, sf), T)
 
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    return validation.bootstrap_ci(S.rule_members(spark, sf), replace(T, n_bootstrap=200), order=("date", "event_id"))
+    return validation.bootstrap_ci(S.rule_members(spark, sf), T, order=("date", "event_id"))
 
 
 @query("spa_stepdown")
 def spa_stepdown(spark, sf):
-    return validation.spa_stepdown(S.rule_members(spark, sf), replicates=200)
+    return validation.spa_stepdown(S.rule_members(spark, sf))
 
 
 @query("gauntlet")
 def gauntlet(spark, sf):
-    return validation.gauntlet(_chosen(spark, sf), 20, replace(T, n_permutations=40, n_bootstrap=100))
+    return validation.gauntlet(_chosen(spark, sf), 20, T)
 
 
 @query("daily_matrix", f"""WITH {S.RULES_SQL}, p AS (SELECT rule, date, avg(net) AS r FROM m GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT date FROM p), (SELECT DISTINCT rule FROM p)) SELECT g.date, g.rule, round(coalesce(r, 0.0), 11) AS ret FROM g LEFT JOIN p USING (rule, date)""", dates=("date",))
@@ -278,14 +267,14 @@ def gmm_regimes(spark, sf):
 
 @query("gbt_deciles")
 def gbt_deciles(spark, sf):
-    predicted, _, _ = models.all_factors_model(S.order_events(spark, sf), "target", S.FACTORS, T, trees=10, least=(100, 40))
+    predicted, _, _ = models.all_factors_model(S.order_events(spark, sf), "target", S.FACTORS, T, least=(100, 40))
     return models.decile_report(predicted, "target")
 
 
 @query("meta_label")
 def meta_label(spark, sf):
     fired = S.order_events(spark, sf).filter("qty > 60").withColumn("net", F.col("target"))
-    return models.meta_label(fired, S.FACTORS, replace(T, meta_min_events=100), trees=5)
+    return models.meta_label(fired, S.FACTORS, replace(T, meta_min_events=100))
 
 
 _RANK = "(rank() OVER (PARTITION BY g ORDER BY {x}) + (count(*) OVER (PARTITION BY g, {x}) - 1) / 2.0)"
@@ -323,11 +312,6 @@ def normal_cdf_query(spark, sf):
     return S.rounded(c.select("c_custkey", normal_cdf(F.col("c_acctbal") / 3000).alias("p")), 9)
 
 
-@query("edge_p_values")
-def edge_p_values(spark, sf):
-    return stats.edge_metrics(S.order_events(spark, sf), ["nation"], "target")
-
-
 @query("union_and_dedupe", f"""WITH {S.EVENTS_SQL}, k AS (SELECT symbol, date, event_id FROM e WHERE qty > 100 UNION ALL SELECT symbol, date, event_id FROM e WHERE acctbal > 3000) SELECT symbol, date, min(event_id) AS event_id FROM k GROUP BY 1, 2""", dates=("date",))
 def union_and_dedupe(spark, sf):
     e = S.order_events(spark, sf).select("symbol", "date", "event_id", "qty", "acctbal")

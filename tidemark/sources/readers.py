@@ -16,6 +16,8 @@ from tidemark.functions.columns import clean
 # Names under which a time column is looked for, in order of preference.
 BAR_TIME_NAMES = ("timestamp", "datetime", "date", "time")
 SERIES_TIME_NAMES = ("timestamp", "datetime", "date")
+#: A row's place in its table's files: what "first" and "last" of equal keys mean.
+PLACE = "_place"
 # Keys of daily series and of keyed tables.
 DAILY_SERIES = (
     "nifty", "sp500", "india_vix", "crude", "usdinr", "gift_nifty", "us_vix", "us_10y",
@@ -103,9 +105,12 @@ def daily_series(spark: SparkSession, root: str, key: str, value: str | None = N
 
 
 def keyed_table(spark: SparkSession, root: str, key: str) -> DataFrame | None:
-    """A side table with its date as DATE."""
+    """A side table with its date as DATE and the place of each row in its files, by which of equal keys the first counts."""
     df = read_if_there(spark, f"{root}/{key}.parquet")
-    return df.withColumn("date", F.to_date("date")) if df is not None and "date" in df.columns else df
+    if df is None:
+        return None
+    df = df.withColumn(PLACE, F.monotonically_increasing_id())
+    return df.withColumn("date", F.to_date("date")) if "date" in df.columns else df
 
 
 def per_symbol_table(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
@@ -124,7 +129,7 @@ def per_symbol_table(spark: SparkSession, root: str, kind: str) -> DataFrame | N
 
 def sector_map(spark: SparkSession, root: str) -> DataFrame | None:
     df = read_if_there(spark, f"{root}/sector_map.parquet")
-    return None if df is None else df.select("symbol", "sector").dropDuplicates(["symbol"])
+    return None if df is None else df.withColumn(PLACE, F.monotonically_increasing_id()).groupBy("symbol").agg(F.min_by("sector", PLACE).alias("sector"))
 
 
 def universe(spark: SparkSession, root: str) -> DataFrame | None:
