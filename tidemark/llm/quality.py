@@ -2,9 +2,9 @@
 
 A text is counted by hashed terms of three kinds: runs of three bytes, words (lower case), and pairs of neighbouring words. A
 pair is hashed by the difference of its words' codes, so pairs that relate alike, such as any word said twice running, are one
-term. Fitting takes a bounded sample of the labelled rows (the `sample` rows whose ids hash lowest), weights roots of counts by
+term. Fitting takes a bounded sample of the labelled rows (the `most` rows whose ids hash lowest), weights roots of counts by
 inverse document frequency, each kind to unit length, and finds the leading singular directions of that matrix. The labelled
-rows' unit vectors along these directions are broadcast: at most sample * DIMS numbers. Scoring projects every whole
+rows' unit vectors along these directions are broadcast: at most `most` * DIMS numbers. Scoring projects every whole
 text the same way, takes the exact cosine products with all labelled vectors, block by block, and lets the nearest ones vote,
 each weighted by a power of its similarity.
 
@@ -152,26 +152,52 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
+@dataclass(frozen=True)
+class Counted:
+    """Counts of a sample's texts: the used slots and their values of all rows end to end, and where each row begins."""
+
+    slots: np.ndarray
+    values: np.ndarray
+    begins: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.begins) - 1
+
+    def blocks(self):
+        """The rows as dense blocks of BLOCK_TEXTS: the whole sample is never dense at once."""
+        for first in range(0, len(self), BLOCK_TEXTS):
+            cuts = self.begins[first : first + BLOCK_TEXTS + 1]
+            block = np.zeros((len(cuts) - 1, SLOTS), dtype=np.float32)
+            part = slice(cuts[0], cuts[-1])
+            block[np.repeat(np.arange(len(block)), np.diff(cuts)), self.slots[part]] = self.values[part]
+            yield block
+
+
+def fit(sample: Counted, labels: np.ndarray, dims: int = DIMS) -> Model:
     """Latent-semantic directions by subspace iteration from a fixed start, and the rows' vectors along them."""
-    n = max(1, len(counts))
-    idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32)
-    matrix = _weighted(counts, idf)
-    basis = np.random.default_rng(0).standard_normal((SLOTS, dims + 16)).astype(np.float32)
-    for _ in range(6):
-        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0] if len(counts) else np.linalg.qr(basis)[0]
-    if len(counts):
-        basis = basis @ np.linalg.svd(matrix @ basis, full_matrices=False)[2].T
+    n = max(1, len(sample))
+    idf = np.log((1 + n) / (1 + np.bincount(sample.slots, minlength=SLOTS))).astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((SLOTS, dims + 16)).astype(np.float32))[0]
+    for _ in range(6 if len(sample) else 0):
+        grown = np.zeros_like(basis)
+        for block in sample.blocks():
+            weighted = _weighted(block, idf)
+            grown += weighted.T @ (weighted @ basis)
+        basis = np.linalg.qr(grown)[0]
+    if len(sample):
+        placed = np.concatenate([_weighted(block, idf) @ basis for block in sample.blocks()])
+        basis = basis @ np.linalg.svd(placed, full_matrices=False)[2].T
     directions = np.ascontiguousarray(basis[:, :dims], dtype=np.float32)
     model = Model(idf, directions, np.zeros((0, directions.shape[1]), np.float32), np.zeros(0))
-    return Model(idf, directions, model.project(counts), labels.astype(np.float64))
+    vectors = [model.project(block) for block in sample.blocks()]
+    return Model(idf, directions, np.concatenate([model.vectors, *vectors]), labels.astype(np.float64))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality") -> Model:
-    """Fit on at most `sample` labelled documents: those with the lowest hash of doc_id."""
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "quality") -> Model:
+    """Fit on at most `most` labelled documents: those with the lowest hash of doc_id."""
     prepare(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound of the fit
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the documented bound of the fit
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def count(batches):
@@ -187,11 +213,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     counted = rows.mapInArrow(count, f"doc_id {id_type}, label int, slots binary, counts binary")
-    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("slots", "counts")).limit(sample).toArrow()  # repeated documents count within the bound
-    counts = np.zeros((got.num_rows, SLOTS), dtype=np.float32)
-    for row, slots, values in zip(counts, got.column("slots").to_pylist(), got.column("counts").to_pylist(), strict=True):
-        row[np.frombuffer(slots, "<u2")] = np.frombuffer(values, "<f4")
-    return fit(counts, got.column("label").to_numpy().astype(np.float64))
+    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("slots", "counts")).limit(most).toArrow()  # repeated documents count within the bound
+    slots, values = (b"".join(got.column(c).to_pylist()) for c in ("slots", "counts"))
+    sizes = [len(x) // 2 for x in got.column("slots").to_pylist()]
+    sample = Counted(np.frombuffer(slots, "<u2").astype(np.int64), np.frombuffer(values, "<f4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    return fit(sample, got.column("label").to_numpy().astype(np.float64))
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
