@@ -35,7 +35,11 @@ FILTER_ROWS = 4_000_000
 SALTS = 32
 
 
-def fingerprint(norm: str) -> Column:
+def normalised(text: str) -> Column:
+    return F.regexp_replace(text_or_empty(text), BLANKS, "")
+
+
+def fingerprint(norm: Column) -> Column:
     return F.xxhash64(norm)
 
 
@@ -77,7 +81,7 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fingerprint") -> Dat
 def _groups(facts: DataFrame, repeated: DataFrame) -> DataFrame:
     """(fingerprint, norm, stays, group_size): texts told apart by all their bytes, of rows whose fingerprint is repeated."""
     few = repeated.count() * 16 <= BROADCAST_BYTES
-    doubtful = facts.join(F.broadcast(repeated) if few else repeated, "fingerprint", "left_semi")
+    doubtful = facts.join(F.broadcast(repeated) if few else repeated, "fingerprint", "left_semi").withColumn("norm", normalised("text"))
     best = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "row"))
     return doubtful.groupBy("fingerprint", "norm").agg(best.alias("best"), F.count("*").alias("group_size")).select(
         "fingerprint", "norm", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"
@@ -85,7 +89,7 @@ def _groups(facts: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def find_copies(facts: DataFrame, *more: str) -> DataFrame:
-    """(row, doc_id, more, keep_id, group_size, kept) for each row of facts: a written table of row, doc_id, points, norm, fingerprint and more."""
+    """(row, doc_id, more, keep_id, group_size, kept) for each row of facts: a written table of row, doc_id, points, text, fingerprint and more."""
     rows = facts.count()
     repeated = written(repeated_fingerprints(facts).select("fingerprint"), "dedup-repeated")
     groups = written(_groups(facts, repeated), "dedup-groups")
@@ -96,7 +100,7 @@ def find_copies(facts: DataFrame, *more: str) -> DataFrame:
     by_print = met.filter("coalesce(texts, 1) = 1").select(*out)
     # Different texts with one fingerprint: found again by their bytes, every text's group dealt over SALTS tasks.
     collided = texts.filter("texts > 1").select("fingerprint")
-    salted = facts.join(collided, "fingerprint", "left_semi").select("row", "doc_id", *more, "fingerprint", "norm", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    salted = facts.join(collided, "fingerprint", "left_semi").select("row", "doc_id", *more, "fingerprint", normalised("text").alias("norm"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
     dealt = groups.join(collided, "fingerprint", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     by_text = salted.join(dealt, ["fingerprint", "norm", "salt"]).select(*out)
     met = by_print.unionByName(by_text) if collided.limit(1).count() else by_print
@@ -109,28 +113,20 @@ def find_copies(facts: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _facts(docs: DataFrame, *more: Column) -> DataFrame:
-    """A written table of numbered rows with the normalised text and its fingerprint."""
-    text = text_or_empty()
-    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length(text).alias("points"), F.regexp_replace(text, BLANKS, "").alias("norm"))
-    return written(cut.select("*", fingerprint("norm").alias("fingerprint"), *more), "dedup-facts")
-
-
 def copies_of(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text_sha256, keep_id, group_size, kept): one row for each row of docs; the hash is of the normalised text."""
     prepare(docs.sparkSession)
-    facts = _facts(docs, F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
-    return find_copies(facts, "text_sha256")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length(text_or_empty()).alias("points"), text_or_empty().alias("text"), normalised("text").alias("norm"))
+    facts = rows.select("row", "doc_id", "points", "text", fingerprint(F.col("norm")).alias("fingerprint"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
+    return find_copies(written(facts, "dedup-facts"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns as they are."""
     prepare(docs.sparkSession)
-    row, norm, points, mark = (free_name(n, docs) for n in ("__row", "__norm", "__points", "__fingerprint"))
-    text = text_or_empty()
-    numbered = docs.withColumns({row: F.monotonically_increasing_id(), points: F.length(text), norm: F.regexp_replace(text, BLANKS, "")})
-    numbered = written(numbered.withColumn(mark, fingerprint(norm)), "dedup-rows")
-    facts = numbered.select(F.col(row).alias("row"), "doc_id", F.col(points).alias("points"), F.col(norm).alias("norm"), F.col(mark).alias("fingerprint"))
+    row, points, mark = (free_name(n, docs) for n in ("__row", "__points", "__fingerprint"))
+    numbered = written(docs.withColumns({row: F.monotonically_increasing_id(), points: F.length(text_or_empty()), mark: fingerprint(normalised("text"))}), "dedup-rows")
+    facts = numbered.select(F.col(row).alias("row"), "doc_id", F.col(points).alias("points"), "text", F.col(mark).alias("fingerprint"))
     gone = written(find_copies(facts).filter("NOT kept").select(F.col("row").alias(row)), "dedup-gone")
     few = gone.count() * 16 <= BROADCAST_BYTES
     return numbered.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*docs.columns)
