@@ -21,6 +21,11 @@ class Settings:
     n_buckets: int = 5
     combo_max_factors: int = 3
     combo_top_single: int = 15
+    gauntlet_top_single: int = 10
+    decay_top_rules: int = 20
+    regime_top_factors: int = 30
+    importance_repeats: int = 5
+    gp_trials_each: int = 50
     cost_pct: float = 0.06
     n_cv_folds: int = 5
     embargo_days: int = 5
@@ -57,6 +62,7 @@ class Settings:
     meta_prob_threshold: float = 0.55
     kelly_fraction: float = 0.25
     n_regimes: int = 3
+    regime_columns: tuple[str, ...] = ("nifty_ret_5d", "vix_level", "vix_pctile_1y", "nifty_above_50dma", "sp500_overnight", "mkt_gap_median", "fii_net_5d")
     cusum_threshold: float = 8.0
     cusum_drift: float = 0.25
     mechanical_actions: tuple[str, ...] = ("split", "bonus", "demerger", "rights", "dividend", "spinoff", "consolidation", "face_value_change")

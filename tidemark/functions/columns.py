@@ -31,6 +31,11 @@ def over_zero(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))
 
 
+def annualised_sharpe(mean: Column, sd: Column, days: float = 252.0) -> Column:
+    """Mean over deviation, scaled to a year of so many days; NULL without deviation."""
+    return F.when(sd > 0, mean / sd * F.sqrt(F.lit(days)))
+
+
 def corr(a: str | Column, b: str | Column) -> Column:
     """Pearson correlation over rows that have both values; NULL where one of them doesn't vary."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))

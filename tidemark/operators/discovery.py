@@ -65,7 +65,7 @@ def single_factors(panel: DataFrame, target: str, factors: list[str], s: Setting
 
 def combinations_of(panel: DataFrame, target: str, level1: DataFrame, s: Settings = SETTINGS, p_values: bool = True) -> DataFrame:
     """Level 2: the best buckets of the top factors, two and three at a time."""
-    rows = level1.orderBy(F.col("spread").desc(), "factor").limit(500).collect()
+    rows = level1.orderBy(F.col("spread").desc(), "factor").collect()  # a row for each factor
     good = [r for r in rows if r.fdr_pass][: s.combo_top_single]
     top = good if len(good) >= 2 else rows[: s.combo_top_single]
     one = {r.factor: inside(F.col(r.factor), F.lit(r.best_lo), F.lit(r.best_hi), F.lit(r.best_bucket)) for r in top}

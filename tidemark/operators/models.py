@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS, Settings
-from tidemark.functions.columns import corr
+from tidemark.functions.columns import annualised_sharpe, corr
 from tidemark.operators.stats import edge_metrics, ranked
 
 
@@ -76,12 +76,13 @@ def uniqueness_weights(fired: DataFrame) -> DataFrame:
 def meta_label(fired: DataFrame, columns: list[str], s: Settings = SETTINGS, seed: int = 0, trees: int = 40) -> DataFrame | None:
     """Which events of a rule to take: a boosted classifier of net > 0, calibrated, cut at a probability, sized by a part of Kelly.
 
-    fired: date, net and columns. One row of figures out of sample; None where there are too few events.
+    fired: date, net and columns. One row of figures out of sample; None where there are too few events. An event that isn't
+    taken counts as zero in the filtered Sharpe ratio; stakes are kelly_fraction * (2 p - 1), at least none and at most all.
     """
     side = F.col("date") <= F.lit(s.train_end).cast("date")
     rows = uniqueness_weights(fired.filter("net IS NOT NULL")).withColumn("label", (F.col("net") > 0).cast("double"))
     n = rows.agg(F.count("*").alias("n"), F.count_if(side).alias("a"), F.count_if(~side).alias("b"), F.count_distinct(F.when(side, F.col("label"))).alias("k")).first()
-    if n.n < s.meta_min_events or not n.b or n.k < 2:
+    if n.n < s.meta_min_events or n.a < s.meta_min_events // 2 or n.b < 50 or n.k < 2:
         return None
     ready, inputs = with_missing_flags(rows, columns, rows.filter(side))
     ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(ready)
@@ -92,16 +93,31 @@ def meta_label(fired: DataFrame, columns: list[str], s: Settings = SETTINGS, see
     raw = lambda df: model.transform(df).withColumn("_p", F.get(vector_to_array("probability"), F.lit(1)))
     calibrated = IsotonicRegression(featuresCol="_p", labelCol="label", weightCol="weight", predictionCol="prob").fit(raw(train.filter("_half")))
     test = calibrated.transform(raw(ready.filter(~side)))
-    stats = train.agg(F.avg(F.when(F.col("net") > 0, F.col("net"))).alias("win"), F.avg(F.when(F.col("net") <= 0, -F.col("net"))).alias("loss")).first()
-    odds = (stats.win or 0) / stats.loss if stats.loss else 1.0
-    kelly = F.greatest(F.lit(0.0), F.col("prob") - (1 - F.col("prob")) / F.lit(max(odds, 1e-9))) * s.kelly_fraction
-    taken = F.col("prob") >= s.meta_prob_threshold
-    ratio = lambda m, d: F.when(d > 0, m / d * F.sqrt(F.lit(252.0)))
-    kept = F.when(taken, F.col("net"))
+    top = sorted(zip(inputs, model.featureImportances.toArray(), strict=True), key=lambda x: -x[1])[:6]
+    return meta_figures(test, s).withColumns({"n_train": F.lit(n.a), "top_features": F.lit(", ".join(i[3:] for i, _ in top))})
+
+
+def meta_figures(test: DataFrame, s: Settings = SETTINGS, least: int = 30) -> DataFrame:
+    """One row: what taking the events of at least a probability, and sizing all by it, would have made. test: net, prob."""
+    taken, net = F.col("prob") >= s.meta_prob_threshold, F.col("net")
+    flat = F.when(taken, net).otherwise(0.0)
+    stake = F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.kelly_fraction * (2 * F.col("prob") - 1)))
     out = test.agg(
-        F.count("*").alias("n_oos"), F.avg("net").alias("oos_base_mean"), F.avg(kept).alias("oos_filtered_mean"), F.avg(taken.cast("double")).alias("oos_kept_frac"),
-        ratio(F.avg("net"), F.stddev_pop("net")).alias("oos_base_sharpe"), ratio(F.avg(kept), F.stddev_pop(kept)).alias("oos_filtered_sharpe"), F.avg(F.when(taken, kelly * F.col("net"))).alias("oos_kelly_mean"),
+        F.count("*").alias("n_oos"), F.avg(net).alias("oos_base_mean"), F.when(F.count_if(taken) >= least, F.avg(F.when(taken, net))).alias("oos_filtered_mean"), F.avg(taken.cast("double")).alias("oos_kept_frac"),
+        annualised_sharpe(F.avg(net), F.stddev_pop(net)).alias("oos_base_sharpe"), annualised_sharpe(F.avg(flat), F.stddev_pop(flat)).alias("oos_filtered_sharpe"),
+        F.avg(stake * net).alias("oos_kelly_mean"), F.avg(flat).alias("_flat"),
     )
-    top = sorted(zip(inputs, model.featureImportances.toArray(), strict=True), key=lambda x: -x[1])[:6]
-    better = F.coalesce((F.col("oos_filtered_mean") > F.col("oos_base_mean")) & (F.col("oos_filtered_sharpe") > F.col("oos_base_sharpe")), F.lit(False))
-    return out.withColumns({"n_train": F.lit(n.a), "improves": better, "top_features": F.lit(", ".join(i[3:] for i, _ in top))})
+    better = (F.col("oos_filtered_mean") > F.col("oos_base_mean")) & (F.col("_flat") >= 0.8 * F.col("oos_base_mean"))
+    return out.withColumn("improves", F.coalesce(better, F.lit(False))).drop("_flat")
+
+
+def run_meta_labels(panel: DataFrame, members: DataFrame, rules: list[str], columns: list[str], s: Settings = SETTINGS, trees: int = 40) -> DataFrame | None:
+    """meta_label for each of a few rules: (rule, figures...). members: rule, event_id, net of the events that each rule took; panel: event_id, date, columns."""
+    out = None
+    for rule in rules:
+        fired = panel.select("event_id", "date", *columns).join(members.filter(F.col("rule") == rule).select("event_id", "net"), "event_id")
+        found = meta_label(fired, columns, s, trees=trees)
+        if found is not None:
+            found = found.withColumn("rule", F.lit(rule))
+            out = found if out is None else out.unionByName(found)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS
-from tidemark.functions.columns import corr, over_zero
+from tidemark.functions.columns import annualised_sharpe, corr, over_zero
 from tidemark.functions.distributions import t_p_value
 
 
@@ -52,7 +52,7 @@ def edge_metrics(members: DataFrame, by: list[str], ret: str = "ret", on: str |
     p = t_p_value("t_stat", F.greatest(F.floor("n_eff") - 1, F.lit(1)).cast("double")) if p_values else F.lit(None).cast("double")
     return out.select(
         *by, "n", F.round("n_eff", 1).alias("n_eff"), "mean_ret", "median_ret", "win_rate", "t_stat", p.alias("p_value"),
-        (F.col("mean_ret") / sd * F.sqrt(F.lit(252.0))).alias("sharpe_like"),
+        annualised_sharpe(F.col("mean_ret"), F.col("_sd")).alias("sharpe_like"),
         F.when(F.col("_down").isNull(), F.lit(float("inf"))).otherwise(F.col("_up") / -F.col("_down")).alias("profit_factor"),
     )
 

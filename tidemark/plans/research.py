@@ -80,8 +80,18 @@ def market_factors(factors: list[str]) -> list[str]:
     return [f for f in factors if any(w in f for w in MARKET_WORDS)]
 
 
+#: Grades from the best to the worst, and those that are traded.
+GRADES = ("PLATINUM", "GOLD", "SILVER", "REJECTED")
+TRADED = GRADES[:2]
+
+
 def run_strategy(panel: DataFrame, target: str, name: str, out: str, s: Settings = SETTINGS, deep: bool = True) -> dict[str, DataFrame]:
-    """All levels on one panel; each result table is written under `out` and returned as read from there."""
+    """All levels on one panel; each result table is written under `out` and returned as read from there.
+
+    Level 1 rules that are confirmed and survive false discovery control, and confirmed formulas, run the gauntlet. Its two best
+    grades, if they also stand other cut dates, are the book: overlap, correlation, capacity, daily results, the family-wise test, second
+    opinions, regimes, drift and breadth are about these.
+    """
     spark = panel.sparkSession
     panel = panel.persist()
     targets = [c for c in panel.columns if c.startswith(s.outcome_prefixes)]
@@ -90,68 +100,110 @@ def run_strategy(panel: DataFrame, target: str, name: str, out: str, s: Settings
     factors = discovery.covered_columns(panel, factors, 0.5)
     made: dict[str, DataFrame] = {}
 
-    def keep(level: str, df: DataFrame | None) -> DataFrame | None:
+    def keep(level: str, df: DataFrame | None, csv: bool = False) -> DataFrame | None:
         if df is None:
             return None
         path = f"{out}/{name}_{level}"
         sinks.write_parquet(df, path)
         made[level] = spark.read.parquet(path)
+        if csv:
+            sinks.write_csv(made[level], f"{path}_csv", single=True)
         return made[level]
 
     try:
         keep("hypotheses", hypotheses.run_hypotheses(panel, target, s))
         level1 = keep("single_factors", discovery.single_factors(panel, target, factors, s))
         keep("combinations", discovery.combinations_of(panel, target, level1, s))
+        if deep and (fitted := models.all_factors_model(panel, target, factors, s)) is not None:
+            predicted, model, inputs = fitted
+            keep("model_deciles", models.decile_report(predicted, target))
+            keep("model_ic", models.prediction_ic(predicted, target))
+            keep("model_importance", models.permutation_importance(predicted, model, inputs, factors, s.importance_repeats))
         thresholds = keep("thresholds", discovery.optimal_thresholds(panel, target, factors, s))
-        keep("regimes", discovery.regime_conditional(panel, target, factors[:30], s=s))
+        keep("regimes", discovery.regime_conditional(panel, target, factors[: s.regime_top_factors], s=s))
         if found := market_factors(factors):
             keep("lead_lag", discovery.lead_lag(panel, target, found, s=s))
         keep("sequences", discovery.sequence_patterns(panel, target, s=s))
         if found := [f for f in s.anomaly_candidates if f in factors]:
             keep("anomalies", discovery.anomaly_precursors(panel, target, found, s=s))
         keep("calendar", discovery.calendar_scan(panel, target, s))
-        rules = {r.rule: discovery.rule_condition(r.rule, panel.columns) for r in thresholds.filter("confirmed").orderBy("rule").limit(20).collect()}
-        rules = {k: c for k, c in rules.items() if c is not None}
-        if rules:
-            members = rule_members(panel, target, rules).filter("chosen")
-            keep("decay", discovery.edge_decay(members.withColumnRenamed("net", "ret")))
+        best = thresholds.filter("confirmed").orderBy(F.abs("is_mean").desc(), "rule").limit(s.decay_top_rules).collect()  # the strongest rules: a top-k report
+        cuts = {r.rule: discovery.rule_condition(r.rule, panel.columns) for r in best}
+        if cuts := {k: c for k, c in cuts.items() if c is not None}:
+            keep("decay", discovery.edge_decay(rule_members(panel, target, cuts).filter("chosen").withColumnRenamed("net", "ret")))
+        alphas = None
         if deep:
             covered = [f for f in factors if f in discovery.covered_columns(panel, factors, 0.8)]
             keep("clusters", regimes.hidden_clusters(panel, target, covered, s=s) if covered else None)
-            if (fitted := models.all_factors_model(panel, target, factors, s)) is not None:
-                keep("model_deciles", models.decile_report(fitted[0], target))
-            keep("alphas", formulas.evolve(panel, target, factors, s=s))
-        best = level1.filter("confirmed OR fdr_pass").orderBy(F.col("spread").desc()).limit(s.combo_top_single).collect()
-        conditions = {f"L1:{r.factor}": level1_condition(r) for r in best} | {f"4A:{k}": c for k, c in rules.items()}
+            siblings = [t for t in targets if t != target and not t.startswith(("go_", "rev_", "filled_", "tb_hit"))]
+            alphas = keep("alphas", formulas.evolve(panel, target, factors, siblings, s))
+            keep("review_pack", formulas.review_pack(alphas, panel), csv=True)
+        tested = sum(df.count() for level, df in made.items() if level in SEARCHES) + (s.gp_trials_each * alphas.count() if alphas is not None else 0)
+        ruled, conditions = candidates(panel, level1, alphas, s)
         if conditions:
-            members = rule_members(panel, target, conditions)
-            gauntlet = keep("gauntlet", validation.gauntlet(members, max(2, len(factors) * s.n_buckets), s))
-            chosen = members.filter("chosen")
-            keep("boundaries", validation.boundaries(chosen, s))
-            keep("spa", validation.spa_stepdown(chosen))
-            keep("drift", regimes.cusum_drift(chosen, s, ("date", "event_id")))
-            keep("breadth", regimes.james_stein(chosen))
-            good = chosen.join(gauntlet.filter("grade IN ('PLATINUM', 'GOLD')").select("rule"), "rule", "left_semi")
-            keep("overlap", portfolio.signal_overlap(good))
-            keep("pnl_correlation", portfolio.pnl_correlation(good, s))
-            keep("book", portfolio.combined_book(good, ["event_id"], s))
-            keep("capacity", portfolio.capacity(good, s=s))
+            members = rule_members(ruled, target, conditions)
+            gauntlet = keep("gauntlet", validation.gauntlet(members, max(2, tested), s))
+            judged(panel, members.filter("chosen"), gauntlet, factors, keep, s, deep)
     finally:
         panel.unpersist()
     return made
 
 
+#: Result tables whose rows are hypotheses: as many trials the best Sharpe ratio is deflated for.
+SEARCHES = ("single_factors", "combinations", "thresholds", "regimes", "lead_lag", "sequences", "anomalies", "calendar", "decay", "clusters")
+
+
+def candidates(panel: DataFrame, level1: DataFrame, alphas: DataFrame | None, s: Settings = SETTINGS) -> tuple[DataFrame, dict[str, Column]]:
+    """The rules that run the gauntlet: (the panel with a flag for each formula, conditions by rule)."""
+    best = level1.filter("confirmed AND fdr_pass").orderBy(F.col("spread").desc(), "factor").limit(s.gauntlet_top_single).collect()  # the strongest: a top-k report
+    conditions = {f"L1:{r.factor}": level1_condition(r) for r in best}
+    for i, r in enumerate(alphas.filter("confirmed").collect() if alphas is not None else []):
+        panel = formulas.top_decile(panel, r.formula, r.oos_ic, f"_alpha{i}")
+        conditions[f"L6:{r.formula[:60]}"] = F.col(f"_alpha{i}")
+    return panel, conditions
+
+
+def judged(panel: DataFrame, chosen: DataFrame, gauntlet: DataFrame, factors: list[str], keep, s: Settings = SETTINGS, deep: bool = True) -> None:
+    """What becomes of the rules that passed the gauntlet. chosen: the events that each rule took."""
+    good = chosen.join(gauntlet.filter(F.col("grade").isin(*TRADED)).select("rule"), "rule", "left_semi")
+    cuts = keep("boundaries", validation.boundaries(good, s))
+    book = good.join(cuts.filter("boundary_pass").select("rule"), "rule", "left_semi").persist()
+    rules = sorted(r.rule for r in book.select("rule").distinct().collect())  # a few rules
+    if rules:
+        keep("overlap", portfolio.signal_overlap(book))
+        keep("pnl_correlation", portfolio.pnl_correlation(book, s))
+        keep("book", portfolio.combined_book(book, ["event_id"], s))
+        keep("daily_pnl", portfolio.book_days(book, ["event_id"], s), csv=True)
+        keep("capacity", portfolio.capacity(book, s=s))
+        keep("spa", validation.spa_stepdown(book))
+        if deep:
+            keep("meta_labels", models.run_meta_labels(panel, book, rules, factors, s))
+        states = discovery.covered_columns(panel, [c for c in s.regime_columns if c in panel.columns], 0.6)
+        days = keep("market_regimes", regimes.market_regimes(panel, states, s))
+        if days is not None:
+            keep("edges_by_regime", discovery.edges_by_regime(book, days, s))
+        keep("drift", regimes.cusum_drift(book, s, ("date", "event_id")))
+        keep("breadth", regimes.james_stein(book))
+    book.unpersist()
+
+
+def by_grade(gauntlet: DataFrame) -> DataFrame:
+    """The best grades first, the highest net mean first among equals."""
+    return gauntlet.orderBy(F.array_position(F.array(*map(F.lit, GRADES)), F.col("grade")), F.col("net_mean").desc_nulls_last(), "rule")
+
+
 def summary(name: str, tables: dict[str, DataFrame]) -> str:
-    """A Markdown report of all result tables."""
+    """A Markdown report of all result tables; the gauntlet by grade."""
     parts = [f"# {name}"]
     for level, df in tables.items():
-        parts += [f"\n## {level}: {df.count()} rows\n", sinks.markdown_table(sinks.flat(df))]
+        shown = by_grade(df) if level == "gauntlet" else df
+        parts += [f"\n## {level}: {df.count()} rows\n", sinks.markdown_table(sinks.flat(shown))]
     return "\n".join(parts) + "\n"
 
 
 def confirmed_rules(gauntlet: DataFrame, boundaries: DataFrame, spa: DataFrame) -> DataFrame:
     """Rules of the two best grades that also pass the boundary and the family-wise test."""
-    good = gauntlet.filter("grade IN ('PLATINUM', 'GOLD')")
+    good = gauntlet.filter(F.col("grade").isin(*TRADED))
     return good.join(boundaries.filter("boundary_pass"), "rule", "left_semi").join(spa.filter("spa_confirmed"), "rule", "left_semi")
 
 
