@@ -98,9 +98,10 @@ def brute_removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [(8 << 20, 4096), (3000, 3)])
+@pytest.mark.parametrize("limits", [(8 << 20, 4096, 2048), (3000, 3, 2048), (3000, 3, 40)])
 def test_substring_dedup_against_brute_force(spark, corpus, monkeypatch, limits):
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", limits[0])
+    monkeypatch.setattr(substring_dedup, "PIECE_WINDOWS", limits[2])
     monkeypatch.setattr(substring_dedup, "BLOCK_SNIPPETS", limits[1])  # small blocks: k-grams are dealt over several
     docs = stored(spark, corpus)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in substring_dedup.remove_repeats(docs, 80).collect())
@@ -621,7 +622,7 @@ def test_quality_on_held_out_rows(spark):
     rows += [(1000, ""), (1001, None), (1002, "  ")]
     docs = documents(spark, rows)
     table = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, quality int")
-    model = quality.fit_quality(docs, table.filter(quality.fold() != 0), sample=300)
+    model = quality.fit_quality(docs, table.filter(quality.fold() != 0), most=300)
     assert len(model.labels) <= 300
     got = {r.doc_id: r.score for r in quality.with_score(docs, model).collect()}
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]

@@ -100,7 +100,8 @@ def joined_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     packed = groups.select(*keys, F.struct(*values).alias(held), F.col(size).alias(f"{held}n"))
     large = F.col(f"{held}n") * F.lit(hot_share) >= F.lit(total)
     hot = packed.filter(large).select(*keys, held)
-    cold = packed.filter(~large).select(*keys, F.lit(0).alias(salt), F.col(held).alias(f"{held}c"))
+    # Zero, but no constant: of a constant the optimizer would take the salt out of the join's keys.
+    cold = packed.filter(~large).select(*keys, F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int").alias(salt), F.col(held).alias(f"{held}c"))
     met = rows.join(F.broadcast(hot), keys, "left")
     met = met.withColumn(salt, F.when(F.col(held).isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0))
     met = met.join(cold, [*keys, salt], "left")

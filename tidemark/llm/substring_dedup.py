@@ -7,8 +7,9 @@ block of text in one task:
    have equal anchors at the same offset, so only occurrences of anchors with the same k-gram need to
    meet. Occurrences are counted by k-gram with map-side sums; k-grams seen once end here.
 2. The text that an anchor's windows cover is its snippet. Occurrences of one k-gram are put together by a 64-bit hash of
-   their snippets, and the text of each kind goes on: of those that occur more than once, from two places, so that the copies
-   are compared too. Several k-grams share a block of text; a k-gram with very many kinds is dealt over several blocks.
+   their snippets. Snippets that occur more than once are compared as pieces: what follows one another in both the first and
+   the last place of occurrence is one text, taken from both places. Of k-grams with several kinds of snippets each kind goes on
+   once; several k-grams share a block of text, and a k-gram with very many kinds is dealt over several blocks.
 3. In a block the snippets, cut into symbols of STEP bytes counted from their anchors, are sorted by the
    suffix array (linear grouping construction); neighbours with enough symbols in common form classes,
    and the up to STEP bytes at the window's either side are then compared exactly.
@@ -28,10 +29,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import joined_groups, prepare, text_or_empty, tidied, written
+from tidemark.llm.common import BROADCAST_BYTES, joined_groups, prepare, text_or_empty, tidied, written
 from tidemark.llm.suffix import suffix_array
 
 LENGTH = 200
@@ -40,7 +41,7 @@ GRAM = 32
 #: Bytes of a symbol of the suffix array.
 STEP = 20
 #: Bytes of snippets in one block, and distinct snippets of one k-gram in one block.
-BLOCK_BYTES, BLOCK_SNIPPETS = 8 << 20, 4096
+BLOCK_BYTES, BLOCK_SNIPPETS = 4 << 20, 4096
 #: Bytes of text that are searched for anchors at a time.
 CHUNK_BYTES = 4 << 20
 _PLACE_BITS = 24  # of a place in a chunk: 2 ** 24 bytes; longer texts are searched in overlapping pieces
@@ -129,8 +130,9 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("row", "bytes").mapInArrow(search, "gram long, snippet long, row long, first long, span short, lead short")
 
 
-def repeated_windows(snippets: list[bytes], leads: np.ndarray, length: int) -> np.ndarray:
-    """For each snippet and window start within it: whether another of the snippets has the same window."""
+def repeated_windows(snippets: list[bytes], leads: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flags, bounds): for each snippet's windows, laid end to end, whether another of the snippets has the same window; the
+    windows of snippet i are those from bounds[i] to bounds[i + 1]."""
     if length < 2 * STEP:
         raise ValueError(f"length must be at least {2 * STEP}")
     sizes = np.array([len(s) for s in snippets], dtype=np.int64)
@@ -151,9 +153,10 @@ def repeated_windows(snippets: list[bytes], leads: np.ndarray, length: int) -> n
     names[ends_here] = 0
     order = suffix_array(names)
     order = order[within[order] + whole <= symbols[owner[order]]]
-    repeated = np.zeros((len(snippets), int(sizes.max()) - length + 1), dtype=bool)
+    windows = np.concatenate([[0], np.cumsum(sizes - length + 1)])
+    repeated = np.zeros(windows[-1], dtype=bool)
     if len(order) < 2:
-        return repeated
+        return repeated, windows
     same = np.ones(len(order) - 1, dtype=bool)
     for i in range(whole):
         same &= names[order[1:] + i] == names[order[:-1] + i]
@@ -161,7 +164,7 @@ def repeated_windows(snippets: list[bytes], leads: np.ndarray, length: int) -> n
     shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     order, kind = order[shared], kind[shared]
     if not len(order):
-        return repeated
+        return repeated, windows
     rest = length - whole * STEP  # bytes beside the symbols, before and after together
     at, who = start[order], owner[order]
     before = np.lib.stride_tricks.sliding_window_view(data, STEP)[at - STEP]
@@ -183,57 +186,64 @@ def repeated_windows(snippets: list[bytes], leads: np.ndarray, length: int) -> n
         by = np.argsort(hashed, kind="stable")
         equal = (hashed[by[1:]] == hashed[by[:-1]]) & (kind[fits[by[1:]]] == kind[fits[by[:-1]]]) & (keys[by[1:]] == keys[by[:-1]]).all(axis=1)
         found = fits[by[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]]
-        repeated[who[found], begin[found]] = True
-    return repeated
+        repeated[windows[who[found]] + begin[found]] = True
+    return repeated, windows
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, first, last) of each run of true values in the lines of a matrix."""
-    padded = np.zeros((flags.shape[0], flags.shape[1] + 2), dtype=np.int8)
-    padded[:, 1:-1] = flags
-    change = np.diff(padded, axis=1)
-    line, first = np.nonzero(change == 1)
-    return line, first, np.nonzero(change == -1)[1] - 1
+def _runs(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, first, last) of each run of true values in lines that lie end to end."""
+    opens = flags.copy()
+    opens[1:] &= ~flags[:-1]
+    opens[bounds[:-1]] = flags[bounds[:-1]]
+    closes = flags.copy()
+    closes[:-1] &= ~flags[1:]
+    closes[bounds[1:] - 1] = flags[bounds[1:] - 1]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    line = np.searchsorted(bounds, first, side="right") - 1
+    return line, first - bounds[line], last - bounds[line]
 
 
-_KEPT = {"gram": "long", "snippet": "long", "lead": "short", "n": "long", "deals": "long", "second": "boolean", "base": "int"}
+#: Windows of a piece of copied text, about.
+PIECE_WINDOWS = 2048
+_KEPT = {"gram": "long", "snippet": "long", "lead": "short", "n": "long", "deals": "long", "second": "boolean", "base": "long"}
 
 
 def _compare(snippets: DataFrame, length: int) -> DataFrame:
     """Windows of snippets that repeat within a block: (gram, snippet, n, first, last); where a k-gram is dealt over several blocks
     also, with hashes, its windows without partner in the block (alone) and one of each kind with partners."""
     names = ["gram", "snippet", "n", "first", "last", "hash", "alone"]
-    kinds = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)))
+    kinds = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)))
 
     def compare(table: pa.Table) -> pa.Table:
         gram, snippet, n, base, second = (table.column(c).to_numpy() for c in ("gram", "snippet", "n", "base", "second"))
         texts, split = table.column("text").to_pylist(), table.column("deals").to_numpy() > 1
-        repeated = repeated_windows(texts, table.column("lead").to_numpy().astype(np.int64), length)
-        repeated[second] = False  # its first copy says the same
+        repeated, bounds = repeated_windows(texts, table.column("lead").to_numpy().astype(np.int64), length)
+        repeated[np.repeat(second, np.diff(bounds))] = False  # its first copy says the same
         parts = []
 
         def add(line, first, last, hashes, alone):
-            columns = [gram[line], snippet[line], n[line], (base[line] + first).astype(np.int32), (base[line] + last).astype(np.int32), hashes, alone]
-            parts.append(pa.table(columns, schema=kinds))
+            parts.append(pa.table([gram[line], snippet[line], n[line], base[line] + first, base[line] + last, hashes, alone], schema=kinds))
 
-        line, first, last = _runs(repeated)
+        line, first, last = _runs(repeated, bounds)
         add(line, first, last, pa.nulls(len(line), pa.binary()), np.zeros(len(line), dtype=bool))
         seen: set[bytes] = set()  # of windows with a partner here one speaks for all
         for i in np.flatnonzero(split & ~second):
             hashes = [xxhash.xxh3_128_digest(texts[i][s : s + length]) for s in range(len(texts[i]) - length + 1)]
-            place = np.array([s for s, h in enumerate(hashes) if not repeated[i, s] or h not in seen], dtype=np.int64)
-            seen.update(h for s, h in enumerate(hashes) if repeated[i, s])
-            add(np.full(len(place), i), place, place, pa.array([hashes[s] for s in place], pa.binary()), ~repeated[i, place])
+            here = repeated[bounds[i] : bounds[i + 1]]
+            place = np.array([s for s, h in enumerate(hashes) if not here[s] or h not in seen], dtype=np.int64)
+            seen.update(h for s, h in enumerate(hashes) if here[s])
+            add(np.full(len(place), i), place, place, pa.array([hashes[s] for s in place], pa.binary()), ~here[place])
         return pa.concat_tables(parts)
 
-    return snippets.groupBy("block").applyInArrow(compare, "gram long, snippet long, n long, first int, last int, hash binary, alone boolean")
+    return snippets.groupBy("block").applyInArrow(compare, "gram long, snippet long, n long, first long, last long, hash binary, alone boolean")
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The text of each wanted snippet (row, first, span, block and what _KEPT names)."""
+def _cut(docs: DataFrame, wanted: DataFrame, length: int, few: bool = False) -> DataFrame:
+    """The text of each wanted snippet (row, first, span, block and what _KEPT names). few: they fit into a broadcast."""
     kept = [*_KEPT, "block"]
     schema = ", ".join(f"{k} {v}" for k, v in _KEPT.items()) + ", block long, text binary"
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "span", *kept)).alias("wanted"))
+    lists = F.broadcast(lists) if few else lists
 
     def cut(batches):
         for batch in batches:
@@ -255,6 +265,22 @@ def _blocks(size: int) -> int:
     return max(8, -(-size // BLOCK_BYTES))
 
 
+def _pieces(distinct: DataFrame) -> DataFrame:
+    """(gram, snippet, n, row, other, shift, first, last, piece): snippets that occur more than once, in their first place, with the
+    piece that they are part of: what follows one another both there and `shift` bytes on in the row `other`."""
+    copied = distinct.filter("n > 1").select(
+        "gram", "snippet", "n", F.col("one.row").alias("row"), F.col("other.row").alias("other"), (F.col("other.first") - F.col("one.first")).alias("shift"),
+        F.col("one.first").alias("first"), (F.col("one.first") + F.col("one.span")).alias("last"),
+    )
+    pair = Window.partitionBy("row", "other", "shift").orderBy("first", "last")
+    so_far = F.max("last").over(pair.rowsBetween(Window.unboundedPreceding, -1))
+    runs = copied.withColumn("begins", F.when(so_far >= F.col("first") - 1, 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("begins").over(pair.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.min("first").over(Window.partitionBy("row", "other", "shift", "run"))
+    part = F.floor((F.col("first") - start) / PIECE_WINDOWS)
+    return runs.withColumn("piece", F.xxhash64("row", "other", "shift", "run", part)).drop("begins", "run")
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, first, last): windows of the row, first to last, that also start elsewhere. docs: row, bytes."""
     found = find_anchors(docs, length)
@@ -263,27 +289,43 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = tidied(joined_groups(found, grams, ["gram"], "occurs", total, "first").filter("occurs IS NOT NULL").drop("occurs"), "repeats-anchors")
     place = F.struct("row", "first", "span", "lead")
     distinct = tidied(known.groupBy("gram", "snippet").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")), "repeats-snippets")
-    held = F.when(F.col("n") > 1, F.col("one.span") + length + 2 * STEP).otherwise(0) + F.col("one.span") + length + 2 * STEP
-    snippets, size = distinct.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
-    deals = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.ceil(F.count("*") / BLOCK_SNIPPETS).cast("long").alias("deals"))
-    dealt = joined_groups(distinct, deals, ["gram"], "kinds", snippets, "snippet")
-    block = F.pmod(F.xxhash64("gram", F.pmod("snippet", "deals")), F.lit(_blocks(size)))
-    copies = F.when(F.col("n") > 1, F.array(F.struct("one.*", F.lit(False).alias("second")), F.struct("other.*", F.lit(True).alias("second")))).otherwise(F.array(F.struct("one.*", F.lit(False).alias("second"))))
-    wanted = dealt.select("gram", "snippet", "n", "deals", block.alias("block"), F.lit(0).alias("base"), F.inline(copies))
-    partial = tidied(_compare(_cut(docs, wanted, length), length), "repeats-windows")
-    windows = partial.filter("hash IS NULL")
+    snippets = distinct.count()
+    deals = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.ceil(F.count("*") / BLOCK_SNIPPETS).cast("long").alias("deals")).filter("kinds > 1")
+    dealt = joined_groups(distinct, deals, ["gram"], "kinds", snippets, "snippet").filter("kinds > 1")
+    pieces = tidied(_pieces(distinct), "repeats-pieces")
+    copied = pieces.groupBy("row", "other", "shift", "piece").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    size = dealt.agg(F.coalesce(F.sum(F.col("one.span") + length + 2 * STEP), F.lit(0))).first()[0]
+    held = copied.agg(F.coalesce(F.sum(2 * (F.col("last") - F.col("first") + length + 2 * STEP)), F.lit(0))).first()[0]
+    by_gram = dealt.select(
+        "gram", "snippet", F.col("one.lead").alias("lead"), "n", "deals", F.lit(False).alias("second"), F.lit(0).cast("long").alias("base"),
+        F.pmod(F.xxhash64("gram", F.pmod("snippet", "deals")), F.lit(_blocks(size))).alias("block"), F.col("one.row").alias("row"), F.col("one.first").alias("first"), F.col("one.span").cast("int").alias("span"),
+    )
+    twice = F.inline(F.array(F.struct(F.col("row").alias("row"), F.col("first").alias("first"), F.lit(False).alias("second")), F.struct(F.col("other").alias("row"), (F.col("first") + F.col("shift")).alias("first"), F.lit(True).alias("second"))))
+    by_piece = copied.select(F.col("row").alias("gram"), F.col("piece").alias("snippet"), F.col("first").alias("base"), (F.col("last") - F.col("first")).cast("int").alias("span"), "row", "other", "shift", "first")
+    by_piece = by_piece.select("gram", "snippet", "base", "span", twice).select(
+        "gram", "snippet", F.lit(0).cast("short").alias("lead"), F.lit(-1).cast("long").alias("n"), F.lit(1).cast("long").alias("deals"), "second", "base",
+        F.pmod(F.xxhash64("snippet"), F.lit(_blocks(held))).alias("block") + F.lit(1 << 40), "row", "first", "span",
+    ).toDF("gram", "snippet", "lead", "n", "deals", "second", "base", "block", "row", "first", "span")
+    partial = tidied(_compare(_cut(docs, by_gram.unionByName(by_piece), length), length), "repeats-windows")
+    windows = partial.filter("hash IS NULL AND n > 0").select("gram", "snippet", "n", "first", "last")
     hashed = partial.filter("hash IS NOT NULL").select("gram", "snippet", "hash", "alone", F.col("first").alias("base"))
     if hashed.filter("alone").limit(1).count():
         # Windows alone in their block: those with the same hash from elsewhere are compared by bytes as well.
         met = hashed.groupBy("hash").agg(F.count("*").alias("m"), F.max("alone").alias("any")).filter("m > 1 AND any").select("hash")
-        again = hashed.join(met, "hash", "left_semi").join(distinct.select("gram", "snippet", "n", "one"), ["gram", "snippet"])
-        size = again.count() * (length + 2 * STEP)
+        again = tidied(hashed.join(met, "hash", "left_semi").join(distinct.select("gram", "snippet", "n", "one"), ["gram", "snippet"]), "repeats-again")
+        windows_again = again.count()
+        size = windows_again * (length + 2 * STEP)
         again = again.select(
-            "gram", "snippet", "n", F.lit(1).cast("long").alias("deals"), F.pmod(F.xxhash64("hash"), F.lit(_blocks(size))).alias("block"), "base", F.lit(False).alias("second"),
-            F.col("one.row").alias("row"), (F.col("one.first") + F.col("base")).alias("first"), F.lit(0).cast("short").alias("span"), (F.col("one.lead") - F.col("base")).cast("short").alias("lead"),
+            "gram", "snippet", (F.col("one.lead") - F.col("base")).cast("short").alias("lead"), "n", F.lit(1).cast("long").alias("deals"), F.lit(False).alias("second"), "base",
+            F.pmod(F.xxhash64("hash"), F.lit(_blocks(size))).alias("block"), F.col("one.row").alias("row"), (F.col("one.first") + F.col("base")).alias("first"), F.lit(0).alias("span"),
         )
-        windows = windows.unionByName(tidied(_compare(_cut(docs, again, length), length), "repeats-across"))
-    lists = windows.groupBy("gram", "snippet").agg(F.first("n").alias("n"), F.collect_set(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("windows"))
+        windows = windows.unionByName(tidied(_compare(_cut(docs, again, length, windows_again * 100 <= BROADCAST_BYTES), length), "repeats-across").select("gram", "snippet", "n", "first", "last"))
+    # What a piece's comparison found is handed back to the snippets that it is made of.
+    equal = partial.filter("n < 0").select(F.col("gram").alias("row"), F.col("snippet").alias("piece"), F.col("first").alias("a"), F.col("last").alias("b"))
+    low, high = F.greatest("first", "a"), F.least("last", "b")
+    copies = pieces.join(equal, ["row", "piece"]).filter(low <= high).select("gram", "snippet", "n", (low - F.col("first")).alias("a"), (high - F.col("first")).alias("b"))
+    windows = windows.select("gram", "snippet", "n", F.col("first").alias("a"), F.col("last").alias("b")).unionByName(copies)
+    lists = windows.groupBy("gram", "snippet").agg(F.first("n").alias("n"), F.collect_set(F.struct("a", "b")).alias("windows"))  # one n for each snippet
     placed = joined_groups(known.select("gram", "snippet", "row", "first"), lists, ["gram", "snippet"], "n", total, "row")
     return placed.select("row", F.col("first").alias("base"), F.inline("windows")).select("row", (F.col("base") + F.col("a")).alias("first"), (F.col("base") + F.col("b")).alias("last"))
 
