@@ -668,3 +668,35 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left[3]
     assert packed.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole")).filter("NOT whole").count() == 0
+
+
+def test_pipeline_over_odd_tables(spark, corpus, tmp_path):
+    """Null, empty, blank, very long, repeated and tied texts, null and repeated ids, clashing columns; an empty table; nothing left behind."""
+    import corpus_pipeline
+
+    rows = [*corpus, (None, corpus[4][1]), (None, None), (7, "another text altogether"), (309, words(random.Random(4), 20_000))]
+    sf, names = str(tmp_path), ["row", "__row", "__score", "__hits", "norm", "fingerprint", "points", "key", "n", "group", "score", "hits"]
+    docs = documents(spark, rows).select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in corpus[:20]], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "one two")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    now, left = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, now, sf)
+        assert kept.columns == docs.columns
+        kept.write.parquet(f"{sf}/{name}")
+        now = spark.read.parquet(f"{sf}/{name}")
+        left[name] = [(r.doc_id, r.text) for r in now.collect()]
+    assert len(left["quality"]) == len(rows)  # all labels are 1
+    norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+    assert sorted(norm(t) for _, t in left["exact_dedup"]) == sorted({norm(t) for _, t in rows})
+    numbered = [(i, t) for i, (_, t) in enumerate(left["exact_dedup"])]
+    assert len(left["near_dedup"]) == len({c for _, _, c in brute_groups(numbered, 5, 80, 100)})
+    assert {t for _, t in left["near_dedup"]} - {t for _, t in left["decontamination"]} == {t for _, t in left["near_dedup"] if t and re.search(r"\bone\W+two\b", t.lower())}
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(tokens.encoder(BYTE_BPE, True).whole(t or "")) // 4 + 1 for _, t in left["decontamination"])
+    assert corpus_pipeline.run(spark, sf).agg(F.sum("length")).first() == packed.agg(F.sum("length")).first()
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{sf}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{sf}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{sf}/none").count() == 0

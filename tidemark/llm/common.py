@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,11 @@ from pyspark.sql import functions as F
 from tidemark.session import ship_package
 
 #: Rows and bytes per Arrow batch that Python workers receive: whichever is reached first ends a batch.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: Groups that hold at least 1/HOT_SHARE of all rows are joined by broadcast: there can be no more than HOT_SHARE of them.
-HOT_SHARE = 1 << 15
+HOT_SHARE = 1 << 12
+#: Bytes of a row group of work tables.
+ROW_GROUP_BYTES = 16 << 20
 #: Bytes of a table up to which it is broadcast where its rows and their width are known.
 BROADCAST_BYTES = 32 << 20
 
@@ -32,6 +36,20 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list of the shared folders that are made in this context, for who knows when they are no longer read."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share, as a path with its scheme.
 
@@ -43,7 +61,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return qualified(spark, f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}")
+    path = qualified(spark, f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}")
+    for made in _recorders:
+        made.append(path)
+    return path
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -67,7 +88,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)  # what a writing task holds in memory
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

@@ -43,11 +43,11 @@ K, NUM, DEN = 4, 85, 100
 #: Growth of size bands, and the set size below which prefixes serve instead of parts.
 GROWTH, SMALL = 1.25, 40
 #: Shingles in a block of part hashes, and bytes of shingles in a tile.
-BLOCK_SHINGLES, TILE_BYTES = 2_500_000, 8 << 20
+BLOCK_SHINGLES, TILE_BYTES = 1_000_000, 8 << 20
 #: Bits of the widest bitmap; members of a party above which they are connected unseen.
-MOST_BITS, MOST_MEMBERS = 1 << 16, 4096
+MOST_BITS, MOST_MEMBERS = 1 << 16, 1024
 #: Part hashes that a task gathers before it hands them on.
-HELD = 2_000_000
+HELD = 500_000
 
 
 def _bands(largest: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, key, key2, bits, shingles): size, 128-bit hash and bitmap of each document's set, and the set: hashes, ascending."""
+    """(doc_id, n, key, key2, bits): size, 128-bit hash and bitmap of each document's set."""
 
     def work(batches):
         shingler = Shingler(k)
@@ -129,18 +129,18 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             found = shingler.sets(batch.column(1).to_pylist())
             keys = [_keys(s) for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), *(pa.array([f(s) for s in found], pa.binary()) for f in (bitmap, np.ndarray.tobytes))],
-                names=["doc_id", "n", "key", "key2", "bits", "shingles"],
+                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array(list(map(bitmap, found)), pa.binary())],
+                names=["doc_id", "n", "key", "key2", "bits"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n long, key long, key2 long, bits binary, shingles binary")
+    return docs.mapInArrow(work, "doc_id long, n long, key long, key2 long, bits binary")
 
 
-def _candidates(sets: DataFrame, num: int, den: int, blocks: int) -> DataFrame:
+def _candidates(docs: DataFrame, k: int, num: int, den: int, blocks: int) -> DataFrame:
     """(party, key): sets that have a part hash in common, by the least key among them."""
 
     def sign(batches):
-        signer = Signer(num, den)
+        shingler, signer = Shingler(k), Signer(num, den)
         hashes, keys, seen, held = [], [], set(), 0
 
         def hand_on():
@@ -153,10 +153,10 @@ def _candidates(sets: DataFrame, num: int, den: int, blocks: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
 
         for batch in batches:
-            for key, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key not in seen:  # a copy says nothing new
+            for shingles in shingler.sets(batch.column(1).to_pylist()):
+                if len(shingles) and (key := _keys(shingles)[0]) not in seen:  # a copy says nothing new
                     seen.add(key)
-                    hashes.append(signer.sign(np.frombuffer(shingles, dtype="<u8")))
+                    hashes.append(signer.sign(shingles))
                     keys.append(np.full(len(hashes[-1]), key, dtype=np.int64))
                     held += len(hashes[-1])
             if held > HELD:
@@ -169,18 +169,21 @@ def _candidates(sets: DataFrame, num: int, den: int, blocks: int) -> DataFrame:
         parts = table.column("data").to_pylist()
         h = np.concatenate([np.frombuffer(p, "<u8", len(p) // 16) for p in parts])
         key = np.concatenate([np.frombuffer(p, "<i8", len(p) // 16, len(p) // 2) for p in parts])
+        del parts
         order = np.lexsort((key, h))
         h, key = h[order], key[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
-        h, key = h[new], key[new]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.concatenate([first, [len(h)]]))
         least = np.repeat(key[first], sizes)  # keys ascend within a hash
-        shared = np.repeat(sizes > 1, sizes)
-        pairs = np.unique(np.stack([least[shared], key[shared]], axis=1), axis=0)
-        return pa.table({"party": pairs[:, 0], "key": pairs[:, 1]})
+        shared = least != np.repeat(key[first + sizes - 1], sizes)  # by more than one set
+        del h, order
+        least, key = least[shared], key[shared]
+        order = np.lexsort((key, least))
+        least, key = least[order], key[order]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (key[1:] != key[:-1])])[: len(key)]
+        return pa.table({"party": least[new], "key": key[new]})
 
-    return sets.filter("n > 0").select("key", "shingles").mapInArrow(sign, "block long, data binary").groupBy("block").applyInArrow(meet, "party long, key long").distinct()
+    return docs.mapInArrow(sign, "block long, data binary").groupBy("block").applyInArrow(meet, "party long, key long").distinct()
 
 
 def _may_link(parties: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -293,14 +296,15 @@ def _tile_links(tiles: DataFrame, by: list[str], num: int, den: int) -> DataFram
 
 
 def _tiled(doubtful: DataFrame) -> DataFrame:
-    """doubtful (rep, group, n) with large, band, deals and tile, from sizes alone: shingles are read for it later."""
-    size = F.col("n") * 8
-    totals = doubtful.groupBy("group").agg((F.sum(size) > TILE_BYTES).alias("large"))
+    """doubtful (rep, group, n; a written table) with large, band, deals and tile, from sizes alone: shingles are read for it later."""
+    size, rows = F.col("n") * 8, doubtful.count()
+    totals = doubtful.groupBy("group").agg((F.sum(size) > TILE_BYTES).alias("large"), F.count("*").alias("members"))
     edges = _EDGES[_EDGES < (1 << 31)].tolist()
     band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n"))) - 1
-    dealt = doubtful.join(totals, "group").withColumn("band", F.when(F.col("large"), band).otherwise(-1))
-    counts = dealt.filter("large").groupBy("group", "band").agg(F.ceil(F.sum(size) / TILE_BYTES).cast("int").alias("deals"))
-    return dealt.join(counts, ["group", "band"], "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int"), F.lit(0)))
+    dealt = joined_groups(doubtful, totals, ["group"], "members", rows, "rep").drop("members").withColumn("band", F.when(F.col("large"), band).otherwise(-1))
+    counts = dealt.filter("large").groupBy("group", "band").agg(F.ceil(F.sum(size) / TILE_BYTES).cast("int").alias("deals"), F.count("*").alias("members"))
+    dealt = joined_groups(dealt, counts, ["group", "band"], "members", rows, "rep").drop("members")
+    return dealt.withColumn("tile", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int"), F.lit(0)))
 
 
 def _links(sets: DataFrame, tiled: DataFrame, num: int, den: int) -> DataFrame:
@@ -343,15 +347,25 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
     classes = sets.filter("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = tidied(classes, "shingle-classes")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parties = tidied(_candidates(sets, num, den, max(8, -(-total // BLOCK_SHINGLES))), "shingle-parties")
+    parties = tidied(_candidates(docs, k, num, den, max(8, -(-total // BLOCK_SHINGLES))), "shingle-parties")
     edges = tidied(_may_link(parties, sets, num, den), "shingle-edges")
     groups = components(edges).select(F.col("node").alias("key"), F.col("component").alias("group"))
-    doubtful = tidied(_tiled(classes.join(groups, "key").filter("rep IS NOT NULL").select("rep", "group", "n").distinct()), "shingle-groups")
+    doubtful = tidied(classes.join(groups, "key").filter("rep IS NOT NULL").select("rep", "group", "n").distinct(), "shingle-doubtful")
+    doubtful = tidied(_tiled(doubtful), "shingle-groups")
 
     places = doubtful.select("group", "band", "tile", "large", "rep").distinct()
     few = places.count() * 64 <= BROADCAST_BYTES
-    filled = sets.filter("n > 0").select("doc_id", "n", "shingles")
-    arrays = filled.join(F.broadcast(places) if few else places, F.col("doc_id") == F.col("rep")).select("group", "band", "tile", "large", "rep", "n", "shingles")
+    columns = ["group", "band", "tile", "large", "rep"]
+
+    def again(batches):
+        shingler = Shingler(k)
+        for batch in batches:
+            found = shingler.sets(batch.column(len(columns)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=[*columns, "n", "shingles"])
+
+    # Storing all sets would take more room than the texts, so only those of doubtful documents are made again.
+    texts = docs.join(F.broadcast(places) if few else places, F.col("doc_id") == F.col("rep")).select(*columns, "text")
+    arrays = texts.mapInArrow(again, "group long, band int, tile int, large boolean, rep long, n long, shingles binary").filter("n > 0")
     arrays = tidied(arrays, "shingle-arrays")
     same = sets.filter("n > 0").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("doc_id")
     links = _links(arrays, doubtful, num, den)

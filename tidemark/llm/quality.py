@@ -37,7 +37,7 @@ RUN = 3  # bytes of a run
 DIMS, NEIGHBOURS, POWER = 48, 15, 12
 THRESHOLD, FOLDS = 0.3, 5
 #: Texts that are projected together, bytes that are counted together, and words whose codes are kept.
-BLOCK_TEXTS, PIECE_BYTES, _MEMORY = 250, 2 << 20, 300_000
+BLOCK_TEXTS, PIECE_BYTES, _MEMORY = 100, 256 << 10, 150_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -176,7 +176,8 @@ class Counted:
 def fit(sample: Counted, labels: np.ndarray, dims: int = DIMS) -> Model:
     """Latent-semantic directions by subspace iteration from a fixed start, and the rows' vectors along them."""
     n = max(1, len(sample))
-    idf = np.log((1 + n) / (1 + np.bincount(sample.slots, minlength=SLOTS))).astype(np.float32)
+    seen = sum((np.count_nonzero(block, axis=0) for block in sample.blocks()), np.zeros(SLOTS, dtype=np.int64))
+    idf = np.log((1 + n) / (1 + seen)).astype(np.float32)
     basis = np.linalg.qr(np.random.default_rng(0).standard_normal((SLOTS, dims + 16)).astype(np.float32))[0]
     for _ in range(6 if len(sample) else 0):
         grown = np.zeros_like(basis)
@@ -214,10 +215,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_co
     id_type = docs.schema["doc_id"].dataType.simpleString()
     counted = rows.mapInArrow(count, f"doc_id {id_type}, label int, slots binary, counts binary")
     got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("slots", "counts")).limit(most).toArrow()  # repeated documents count within the bound
-    slots, values = (b"".join(got.column(c).to_pylist()) for c in ("slots", "counts"))
-    sizes = [len(x) // 2 for x in got.column("slots").to_pylist()]
-    sample = Counted(np.frombuffer(slots, "<u2").astype(np.int64), np.frombuffer(values, "<f4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-    return fit(sample, got.column("label").to_numpy().astype(np.float64))
+    slots, sizes = _flat(got.column("slots"))
+    values, _ = _flat(got.column("counts"))
+    labels = got.column("label").to_numpy().astype(np.float64)
+    return fit(Counted(slots.view("<u2"), values.view("<f4"), np.concatenate([[0], np.cumsum(sizes // 2)])), labels)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of a binary column's values end to end, size of each): without a Python object for each value."""
+    data, sizes = [np.zeros(0, dtype=np.uint8)], [np.zeros(0, dtype=np.int64)]
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            sizes.append(np.diff(ends).astype(np.int64))
+            if ends[-1] > ends[0]:
+                data.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(data), np.concatenate(sizes)
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -43,9 +43,9 @@ STEP = 20
 #: Bytes of snippets in one block, and distinct snippets of one k-gram in one block.
 BLOCK_BYTES, BLOCK_SNIPPETS = 4 << 20, 4096
 #: Bytes of text that are searched for anchors at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _PLACE_BITS = 24  # of a place in a chunk: 2 ** 24 bytes; longer texts are searched in overlapping pieces
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
