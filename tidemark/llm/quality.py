@@ -208,29 +208,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_co
                 piece = batch.slice(part, BLOCK_TEXTS)
                 counts = counter.counts(piece.column(2).to_pylist())
                 used = [np.flatnonzero(c) for c in counts]
-                slots = [u.astype("<u2").tobytes() for u in used]
-                values = [c[u].astype("<f4").tobytes() for c, u in zip(counts, used, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "label", "slots", "counts"])
+                terms = [zlib.compress(u.astype("<u2").tobytes() + c[u].astype("<u4").tobytes(), 1) for c, u in zip(counts, used, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(terms, pa.binary())], names=["doc_id", "label", "terms"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"doc_id {id_type}, label int, slots binary, counts binary")
-    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("slots", "counts")).limit(most).toArrow()  # repeated documents count within the bound
-    slots, sizes = _flat(got.column("slots"))
-    values, _ = _flat(got.column("counts"))
-    labels = got.column("label").to_numpy().astype(np.float64)
-    return fit(Counted(slots.view("<u2"), values.view("<f4"), np.concatenate([[0], np.cumsum(sizes // 2)])), labels)
-
-
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of a binary column's values end to end, size of each): without a Python object for each value."""
-    data, sizes = [np.zeros(0, dtype=np.uint8)], [np.zeros(0, dtype=np.int64)]
-    for chunk in column.chunks:
-        if len(chunk):
-            ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-            sizes.append(np.diff(ends).astype(np.int64))
-            if ends[-1] > ends[0]:
-                data.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]])
-    return np.concatenate(data), np.concatenate(sizes)
+    counted = rows.mapInArrow(count, f"doc_id {id_type}, label int, terms binary")
+    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms")).limit(most).toArrow()  # repeated documents count within the bound
+    terms = [zlib.decompress(x.as_py()) for x in got.column("terms")]
+    sizes = np.array([len(x) // 6 for x in terms], dtype=np.int64)
+    slots = np.frombuffer(b"".join(x[: 2 * n] for x, n in zip(terms, sizes.tolist(), strict=True)), "<u2")
+    values = np.frombuffer(b"".join(x[2 * n :] for x, n in zip(terms, sizes.tolist(), strict=True)), "<u4").astype(np.float32)
+    return fit(Counted(slots, values, np.concatenate([[0], np.cumsum(sizes)])), got.column("label").to_numpy().astype(np.float64))
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
