@@ -74,5 +74,23 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def test_microstructure_with_free_and_tied_bars(spark, tmp_path):
+    """Prices of zero, alone and in a row, and bars of one time that are all alike: the twin's frames take them together."""
+    rng = np.random.default_rng(5)
+    rows, start = [], pd.Timestamp("2024-01-01")
+    for kind in ("plain", "free", "tied", "first"):
+        for i in range(60):
+            value = 0.0 if (kind, i) in {("free", 20), ("free", 40), ("free", 41), ("first", 0)} else round(float(rng.uniform(1, 9)), 2)
+            for copy in range(4 if kind == "tied" and i % 3 == 0 else 1):
+                rows.append((len(rows) * 7 + i % 7, start + pd.Timedelta(minutes=10 * i), kind, value))
+    events = pd.DataFrame(rows, columns=["event_id", "ts", "event_type", "value"])
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = QUERIES["microstructure"](spark, str(tmp_path)).toPandas(), con.sql(SQL["microstructure"]).df()
+    assert normal(got) == normal(want) and len(want) == 4 and np.isinf(want["ms_amihud"]).sum() == 2
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0

@@ -282,7 +282,7 @@ en AS (SELECT symbol, date, CASE WHEN sum(len * n) >= 20 THEN -sum(s * log2(s))
 SELECT g.symbol, g.date, round(ms_amihud, 2) AS ms_amihud, round(ms_kyle_lambda, 4) AS ms_kyle_lambda, round(ms_roll_spread, 5) AS ms_roll_spread, round(ms_vpin, 6) AS ms_vpin, round(ms_clv_pressure, 6) AS ms_clv_pressure, round(ms_run_entropy, 6) AS ms_run_entropy
 FROM g LEFT JOIN vp ON vp.symbol = g.symbol AND vp.date = g.date LEFT JOIN en ON en.symbol = g.symbol AND en.date = g.date""", dates=("date",))
 def micro(spark, sf):
-    return S.rounded(microstructure.daily_measures(S.event_bars(spark, sf), 30, 20), ms_amihud=2, ms_kyle_lambda=4, ms_roll_spread=5)
+    return S.rounded(microstructure.daily_measures(S.event_bars(spark, sf), 30, 20, ieee=True), ms_amihud=2, ms_kyle_lambda=4, ms_roll_spread=5)
 
 
 _KISH = """kd AS (SELECT symbol, date, count(*) AS n, sum(target) AS s, sum(target * target) AS q FROM e GROUP BY 1, 2),
