@@ -1,8 +1,11 @@
 """Operators on small hand-made cases, and properties that must hold on any input."""
 
 import datetime as dt
+import functools
 import itertools
+import math
 import random
+import time
 from statistics import median
 
 import numpy as np
@@ -181,6 +184,36 @@ def test_permutation_tells_a_rule_from_chance(spark):
     assert got["good"].perm_pass and got["good"].n_selected == 80 and not got["chance"].perm_pass
 
 
+def test_drawn_sums_are_of_any_set_alike():
+    rng = np.random.default_rng(4)
+    for n, cells in ((6, 1 << 21), (7, 64)):
+        for k in range(n + 1):
+            kinds, times = np.unique(validation._drawn_sums(rng, 2.0 ** np.arange(n), np.full(4000, k), cells), return_counts=True)
+            due = 4000 / math.comb(n, k)
+            assert len(kinds) == math.comb(n, k) and abs(times - due).max() < 6 * math.sqrt(due) + 1e-9
+    x = rng.normal(size=900)
+    for k in (2, 100, 450, 800):
+        got = validation._drawn_sums(rng, x, np.full(4000, k))
+        sd = math.sqrt(k * (1 - k / 900) * x.var(ddof=1))
+        assert abs(got.mean() - k * x.mean()) < 5 * sd / math.sqrt(4000) and abs(got.std() / sd - 1) < 0.06
+
+
+def test_permutation_in_time_on_large_days(spark):
+    """Half a million events of one rule: sorting them all for each replicate took minutes. All of them alike are no evidence."""
+    day = F.date_add(F.lit(DAY), (F.col("id") % 50).cast("int"))
+    rows = spark.range(500_000).select(day.alias("date"), F.rand(1).alias("noise"), (F.col("id") % 3 == 0).alias("chosen"))
+    lift = {"good": F.col("noise") + 0.01 * F.col("chosen").cast("int"), "chance": F.col("noise"), "flat": F.lit(0.1)}
+    m = functools.reduce(lambda a, b: a.union(b), (rows.select(F.lit(n).alias("rule"), "date", c.alias("net"), "chosen") for n, c in lift.items())).persist()
+    m.count()
+    began = time.monotonic()
+    got = {r.rule: r for r in validation.permutation_test(m, Settings(n_permutations=500)).collect()}
+    assert time.monotonic() - began < 60
+    assert got["good"].perm_pass and not got["chance"].perm_pass and got["flat"].perm_p == 1.0 and got["good"].n_selected == 166667
+    again = {r.rule: r for r in validation.permutation_test(m.repartition(5, "net"), Settings(n_permutations=500)).collect()}
+    assert again == got
+    m.unpersist()
+
+
 def test_overfitting_probability_is_a_share(spark):
     rng = np.random.default_rng(3)
     noise = members(spark, {f"r{i}": rng.normal(0, 1, 160) for i in range(6)})

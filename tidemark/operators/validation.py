@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS, Settings
 from tidemark.functions.distributions import normal_cdf_udf, normal_ppf
-from tidemark.session import ship_package
+from tidemark.session import ship_package, work_folder
 
 EULER = 0.5772156649
 
@@ -108,31 +108,78 @@ def _stationary(rng: np.random.Generator, n: int, block: float, size: int) -> np
     return (starts[which] + np.arange(size) - which) % n
 
 
+def _drawn_sums(rng: np.random.Generator, x: np.ndarray, sizes: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
+    """For each size the sum of so many values of x, drawn at random without replacement.
+
+    The lesser side is drawn. Each value is taken with a chance a little below its due; what lacks is added one by one, where draws
+    of values taken already count for nothing. Either way every set of that size is as likely as any other.
+    """
+    n, total = len(x), x.sum()
+    out = np.where(sizes >= n, total, 0.0)
+    part = np.flatnonzero((sizes > 0) & (sizes < n))
+    for at in np.array_split(part, max(1, -(-len(part) * n // cells))):  # a bound on memory
+        if not len(at):
+            continue
+        least = np.minimum(sizes[at], n - sizes[at])
+        chance = (np.maximum(0, least - 4 * np.sqrt(least)) * 256 // n).astype(np.uint8)
+        taken = rng.integers(256, size=(len(at), n), dtype=np.uint8) < chance[:, None]
+        have = np.count_nonzero(taken, axis=1)
+        taken[have > least] = False  # too many, which is rare: all are drawn one by one
+        have[have > least] = 0
+        while (lack := least - have).any():
+            taken[np.repeat(np.arange(len(at)), lack), rng.integers(n, size=lack.sum())] = True
+            have = np.count_nonzero(taken, axis=1)
+        got = taken @ x
+        out[at] = np.where(sizes[at] > least, total - got, got)
+    return out
+
+
 def permutation_test(members: DataFrame, s: Settings = SETTINGS, seed: int = 0) -> DataFrame:
     """How often does a rule that selects as many events a day, on shuffled days, do as well? members: rule, date, net, chosen.
 
-    A rule's returns travel once, to one group, where all replicates are drawn; rules run side by side. A replicate deals the days'
-    numbers of selected events to other days and takes so many of a day's events at random: those with the lowest random keys.
+    A replicate deals the days' numbers of selected events to other days and takes so many of a day's events at random. Days' counts
+    alone are dealt for a rule as a whole; the events of each day are drawn from side by side, for all replicates at once, from a
+    random stream of the day's own number. The days are stored once, as both steps read them. Means that differ by rounding are equal.
     """
-    ship_package(members.sparkSession)
-    rows = members.filter("net IS NOT NULL").select("rule", "date", F.col("net").cast("double").alias("net"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "net", "chosen"], kind="stable")  # the same draws however rows arrive
-        x, taken = pdf["net"].to_numpy(), pdf["chosen"].to_numpy()
-        day = pd.factorize(pdf["date"])[0]
-        sizes, counts = np.bincount(day), np.bincount(day, weights=taken).astype(np.int64)
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(len(x)) - first[day]  # within the day, once it is in random order
-        real, beats = (x[taken].mean() if taken.any() else np.nan), 0
-        for r in range(s.n_permutations):
-            rng = _seeded(seed, r)
-            dealt = np.minimum(rng.permutation(counts), sizes)
-            got = np.lexsort((rng.random(len(x)), day))[place < dealt[day]]
-            beats += len(got) > 0 and x[got].mean() >= real
-        return pd.DataFrame({"rule": [key[0]], "beats": [int(beats)], "n_selected": [int(taken.sum())], "real": [real]})
-
-    out = rows.groupBy("rule").applyInPandas(run, "rule string, beats long, n_selected long, real double")
+    spark = members.sparkSession
+    ship_package(spark)
+    rows = members.filter("net IS NOT NULL AND date IS NOT NULL").select("rule", "date", F.col("net").cast("double").alias("net"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    taken = F.coalesce(F.sum(F.when(F.col("chosen"), F.col("net"))), F.lit(0.0))
+    days = rows.groupBy("rule", "date").agg(F.collect_list("net").alias("x"), F.count_if("chosen").alias("n"), taken.alias("taken"), F.count("*").alias("size"))
+    path = work_folder(spark, "permutation")
+    days.write.parquet(path)
+    days = spark.read.parquet(path)
+    some = days.schema["rule"].dataType.simpleString(), days.schema["date"].dataType.simpleString()
+
+    def deal(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", ignore_index=True)
+        counts = pdf["n"].to_numpy()
+        dealt = np.minimum([_seeded(seed, r).permutation(counts) for r in range(s.n_permutations)], pdf["size"].to_numpy())
+        return pd.DataFrame({"rule": pdf["rule"], "date": pdf["date"], "place": pdf.index, "dealt": list(dealt.T)})
+
+    def draw(parts):
+        made: dict = {}
+        for pdf in parts:
+            for rule, place, x, dealt, n, taken in zip(pdf["rule"], pdf["place"], pdf["x"], pdf["dealt"], pdf["n"], pdf["taken"], strict=True):
+                dealt = np.asarray(dealt, dtype=np.int64)
+                x = np.sort(np.asarray(x, dtype=float))  # the same draws however rows arrive
+                sums = _drawn_sums(_seeded(seed, s.n_permutations, place), x, dealt)
+                for have, more in zip(made.setdefault(rule, [np.zeros(len(sums)), np.zeros(len(sums), np.int64), np.zeros(3)]), (sums, dealt, np.array([n, taken, np.abs(x).mean()])), strict=True):
+                    have += more
+        if made:
+            yield pd.DataFrame({"rule": list(made), "sums": [m[0] for m in made.values()], "drawn": [m[1] for m in made.values()], "real": [m[2] for m in made.values()]})
+
+    def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums, drawn, (n, taken, size) = (np.sum(pdf[c].tolist(), axis=0) for c in ("sums", "drawn", "real"))
+        real = taken / n if n else np.nan
+        beats = int((sums[drawn > 0] / drawn[drawn > 0] >= real - 1e-10 * size).sum())
+        return pd.DataFrame({"rule": [key[0]], "beats": [beats], "n_selected": [int(n)], "real": [real]})
+
+    counts = days.select("rule", "date", "n", "size").groupBy("rule").applyInPandas(deal, f"rule {some[0]}, date {some[1]}, place long, dealt array<long>")
+    tasks = 4 * spark.sparkContext.defaultParallelism  # drawing takes time rather than bytes, by which Spark would merge tasks
+    both = days.repartition(tasks, "rule", "date").join(counts.repartition(tasks, "rule", "date"), ["rule", "date"])
+    drawn = both.select("rule", "place", "x", "dealt", "n", "taken").mapInPandas(draw, f"rule {some[0]}, sums array<double>, drawn array<long>, real array<double>")
+    out = drawn.groupBy("rule").applyInPandas(judge, f"rule {some[0]}, beats long, n_selected long, real double")
     p, enough = (F.col("beats") + 1) / F.lit(s.n_permutations + 1), F.col("n_selected") >= 30
     return out.select("rule", "n_selected", F.when(enough, F.bround(p, 4)).alias("perm_p"), F.coalesce(enough & (p < 0.05), F.lit(False)).alias("perm_pass"), F.bround("real", 4).alias("net_mean"))
 
