@@ -214,6 +214,31 @@ def test_permutation_in_time_on_large_days(spark):
     m.unpersist()
 
 
+def test_stationary_means_by_running_sums():
+    """The same law as means over the places of a sample, whatever the length of the series and of its runs."""
+    rng = np.random.default_rng(6)
+    for n, block in ((3, 20), (80, 20), (300, 5), (50, 1)):
+        x = np.sort(rng.normal(size=n))
+        sums = np.concatenate([[0.0], np.cumsum(np.tile(x, 2))])
+        a = np.array([validation._stationary_mean(rng, sums, n, block) for _ in range(4000)])
+        b = np.array([x[validation._stationary(rng, n, block, n)].mean() for _ in range(4000)])
+        assert abs(a.mean() - b.mean()) < 5 * b.std() / math.sqrt(2000) and abs(a.std() / b.std() - 1) < 0.1
+
+
+def test_gauntlet_in_time_on_many_events(spark):
+    day = F.date_add(F.lit(DAY), (F.col("id") % 400).cast("int"))
+    rows = spark.range(800_000).select(day.alias("date"), F.randn(1).alias("noise"), (F.col("id") % 3 == 0).alias("chosen"))
+    lift = {"good": F.col("noise") + 0.5 * F.col("chosen").cast("int"), "chance": F.col("noise") - 0.05}
+    m = functools.reduce(lambda a, b: a.union(b), (rows.select(F.lit(n).alias("rule"), "date", c.alias("net"), "chosen") for n, c in lift.items())).persist()
+    m.count()
+    began = time.monotonic()
+    got = {r.rule: r for r in validation.gauntlet(m, 20, Settings()).collect()}
+    assert time.monotonic() - began < 60
+    assert got["good"].grade == "PLATINUM" and got["good"].n_events == got["good"].n_selected == 266667
+    assert got["chance"].grade == "REJECTED"
+    m.unpersist()
+
+
 def test_overfitting_probability_is_a_share(spark):
     rng = np.random.default_rng(3)
     noise = members(spark, {f"r{i}": rng.normal(0, 1, 160) for i in range(6)})

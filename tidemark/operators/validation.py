@@ -108,6 +108,17 @@ def _stationary(rng: np.random.Generator, n: int, block: float, size: int) -> np
     return (starts[which] + np.arange(size) - which) % n
 
 
+def _stationary_mean(rng: np.random.Generator, sums: np.ndarray, n: int, block: float) -> float:
+    """The mean of a stationary bootstrap sample: runs of geometric length that wrap around, read off running sums of two rounds of the series."""
+    runs, ends = int(n / block + 4 * math.sqrt(n / block)) + 8, np.zeros(1, np.int64)
+    while ends[-1] < n:
+        ends = np.append(ends, ends[-1] + np.cumsum(rng.geometric(1 / block, size=runs)))
+    lengths = np.diff(np.minimum(ends[: np.searchsorted(ends, n) + 1], n))
+    starts = rng.integers(n, size=len(lengths))
+    rounds, rest = np.divmod(lengths, n)
+    return (rounds.sum() * sums[n] + (sums[starts + rest] - sums[starts]).sum()) / n
+
+
 def _drawn_sums(rng: np.random.Generator, x: np.ndarray, sizes: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
     """For each size the sum of so many values of x, drawn at random without replacement.
 
@@ -190,11 +201,14 @@ def bootstrap_ci(members: DataFrame, s: Settings = SETTINGS, seed: int = 0, orde
     A rule's returns travel once, to one group, where all replicates are drawn; only the two points come out.
     """
     ship_package(members.sparkSession)
-    known = members.filter("net IS NOT NULL").select("rule", "net", *order)
+    dates = {f.name for f in members.schema.fields if f.dataType.typeName() == "date"}
+    known = members.filter("net IS NOT NULL").select("rule", "net", *(F.unix_date(c).alias(c) if c in dates else F.col(c) for c in order))  # numbers sort fast
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values([*order, "net"], kind="stable")["net"].to_numpy(dtype=float)
-        means = [x[_stationary(_seeded(seed, r), len(x), s.bootstrap_block, len(x))].mean() for r in range(s.n_bootstrap)]
+        mean = x.mean()
+        sums = np.concatenate([[0.0], np.cumsum(np.tile(x - mean, 2))])
+        means = [mean + _stationary_mean(_seeded(seed, r), sums, len(x), s.bootstrap_block) for r in range(s.n_bootstrap)]
         low, high = np.percentile(means, [5, 95])
         return pd.DataFrame({"rule": [key[0]], "n": [len(x)], "low": [low], "high": [high]})
 
@@ -257,6 +271,9 @@ def spa_stepdown(members: DataFrame, replicates: int = 1000, block: int = 10, al
 
 def gauntlet(members: DataFrame, trials: int, s: Settings = SETTINGS) -> DataFrame:
     """All five tests side by side, with score and grade. members: rule, date, net, chosen (over all events of the panel)."""
+    path = work_folder(members.sparkSession, "gauntlet")
+    members.select("rule", "date", "net", "chosen").write.parquet(path)  # each test reads them
+    members = members.sparkSession.read.parquet(path)
     chosen = members.filter("chosen")
     out = walk_forward(chosen, s).select("rule", "cv_fold_means", F.concat_ws("/", "cv_positive", "cv_folds").alias("cv_positive_folds"), "cv_pass")
     out = out.join(permutation_test(members, s), "rule", "left").join(bootstrap_ci(chosen, s).drop("n"), "rule", "left")
