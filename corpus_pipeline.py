@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact_dedup, jaccard, packing, quality, tokens
-from tidemark.llm.common import dropped, free_name, recorded, table, written
+from tidemark.llm.common import dropped, free_name, recorded, released, table, written
 
 #: Near copies share 80 of 100 or more of their joint shingles of five words.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
@@ -30,7 +30,7 @@ _left: list[str] = []  # work tables of stages that may be over
 
 
 def tidying(stage):
-    """stage, that deletes what earlier ones left."""
+    """stage, that deletes what earlier ones left and gives the driver's free memory back."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +38,7 @@ def tidying(stage):
         for path in [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)]:
             dropped(spark, path)
             _left.remove(path)
+        released(spark)
         with recorded() as made:
             out = stage(spark, docs, sf_dir)
         _left.extend(made)

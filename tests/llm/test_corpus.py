@@ -4,10 +4,12 @@ import contextlib
 import hashlib
 import heapq
 import itertools
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, components, decontaminate, exact_dedup, jaccard, packing, quality, sharding, substring_dedup, suffix, token_orc, tokens, warc
 from tidemark.llm import quotient_filter as filters
-from tidemark.llm.common import shared_folder
+from tidemark.llm.common import released, shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BYTE_BPE, WORD_BPE = tokens.default_path("byte_bpe_50k.json"), tokens.default_path("word_bpe_49k.json")
@@ -700,3 +702,25 @@ def test_pipeline_over_odd_tables(spark, corpus, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{sf}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{sf}/none").count() == 0
+
+
+def test_freed_memory_goes_back_to_the_system(spark):
+    """Blocks of 64 KB below one that is still held: glibc keeps them until it is told."""
+    held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+    before = held()
+    blocks = [bytearray(os.urandom(1 << 16)) for _ in range(2400)]
+    last = blocks[-1]
+    assert held() - before > 100
+    del blocks
+    released(spark)
+    assert held() - before < 50 and len(last) == 1 << 16
+
+
+def test_pipeline_stages_begin_by_giving_memory_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a few words of a text"), (2, "a few words of a text")], "doc_id long, text string")
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "released", calls.append)
+    assert corpus_pipeline.no_exact_copies(spark, docs, "").count() == 1
+    assert calls == [spark]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, prepare, text_or_empty
+from tidemark.llm.common import free_name, prepare, released, text_or_empty
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 4096
@@ -213,7 +213,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_co
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     counted = rows.mapInArrow(count, f"doc_id {id_type}, label int, terms binary")
-    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms")).limit(most).toArrow()  # repeated documents count within the bound
+    model = _fitted(counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms")).limit(most))  # repeated documents count within the bound
+    released(docs.sparkSession)
+    return model
+
+
+def _fitted(counted: DataFrame) -> Model:
+    got = counted.toArrow()
     terms = [zlib.decompress(x.as_py()) for x in got.column("terms")]
     sizes = np.array([len(x) // 6 for x in terms], dtype=np.int64)
     slots = np.frombuffer(b"".join(x[: 2 * n] for x, n in zip(terms, sizes.tolist(), strict=True)), "<u2")
